@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language, quality, secret_scan, token_counts, urls
+from . import bpe, decontamination, language, near_duplicates, personal_data, quality, secret_scan, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": _over(secret_scan.secret_report, "documents"),
     "op3_language_id": _over(language.language_report, "documents"),
     "op4_decontamination": _over(decontamination.find_leaks, "documents", "benchmark"),
+    "op5_substring_dedup": _over(substrings.repeats_report, "documents"),
+    "op6_personal_data": _over(personal_data.personal_data_report, "documents"),
     "op7_url_filter": _over(urls.judge_urls, "pages", "labels"),
+    "op8_near_duplicates": _over(near_duplicates.near_duplicates, "documents"),
     "op9_quality_rules": _over(quality.quality_report, "documents"),
     "op10_byte_bpe": _over(bpe.bpe_digests, "documents"),
 }

@@ -28,7 +28,7 @@ HEX_BITS, BASE64_BITS = 3.0, 3.8
 #: Candidates that are no secrets: identifiers, examples, counting or repeated characters.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|example|placeholder|changeme|dummy|sample|redacted"
-    r"|0123456789|1234567890|abcdefgh|(.)\1{5}|^[a-z]+[-_][a-z]+(?:[-_][a-z0-9]+)*$|^(?:[a-z]+[/_-])+[a-z0-9]*$"
+    r"|0123456789|1234567890|abcdefgh|(.)\1{5}|^[a-z]+[-_][a-z]+(?:[-_][a-z0-9]+)*+$|^(?:[a-z]+[/_-])++[a-z0-9]*$"
 )
 
 
