@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +124,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns, decided row by row without a shuffle."""
 
-    import pandas as pd
-
     def good(texts: pd.Series) -> pd.Series:
         return pd.Series([measure(t)[-1] for t in texts], dtype=bool)
 
