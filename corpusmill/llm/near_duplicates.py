@@ -32,10 +32,13 @@ WORDS = 5
 #: Rows of a band, and bands. A pair at 85 % shares a band but for one case in a million.
 ROWS, BANDS = 7, 36
 SAMPLES = ROWS * BANDS
-SKETCH_BITS = 1024
+#: Ranges that give a sample each to the sketch, and bits of the sketch.
+SKETCH_BINS, SKETCH_BITS = 1024, 1024
 #: Standard deviations that a pair's sketch may fall short of the wanted similarity.
 SLACK = 5.0
 HASH_ENTRIES = 500_000
+#: Star turns before the remaining pairs are taken up one by one.
+TURNS = 2
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -99,21 +102,35 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Bitmap of SKETCH_BITS as 64-bit integers: each sample flips a bit."""
-    at = _mixed(samples * _P + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of SKETCH_BITS as 64-bit integers: each one-permutation MinHash sample flips a bit.
+
+    The samples are the least hashes of SKETCH_BINS equal ranges, so a set smaller than that is
+    sampled almost whole, and a larger one by one value for each range.
+    """
+    ranges = hashes >> np.uint64(64 - SKETCH_BINS.bit_length() + 1)
+    samples = hashes[np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))]
+    at = _mixed(samples * _P) % np.uint64(SKETCH_BITS)
     bits = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
-def most_differing_bits(percent: int) -> int:
-    """Bits in which the sketches of a pair at `percent` similarity differ at most, with SLACK."""
-    miss = 1 - percent / 100
-    samples = SAMPLES * miss + SLACK * (SAMPLES * miss * (1 - miss)) ** 0.5
-    # twice the differing samples are flips; flips that meet cancel out, which only lowers the count
-    flips = 2 * samples
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return int(mean + SLACK * (max(0.0, flips - mean) / 2) ** 0.5 + 1)
+def most_differing_bits(a: Column, b: Column, percent: int) -> Column:
+    """Bits in which the sketches of two sets of sizes a and b at `percent` similarity differ at most.
+
+    Of the union's `u` values, `m` are samples; a sample outside the intersection flips one bit, and
+    another one if the other set has a value in that range. Their number is hypergeometric; SLACK
+    standard deviations are added to the mean. Flips that meet cancel out.
+    """
+    t = percent / 100
+    u = (a + b) / (1 + t)
+    empty = F.exp(-u / SKETCH_BINS)
+    m = SKETCH_BINS * (1 - empty)
+    mean = (1 - t) * m * (2 - empty)
+    spread = m * t * (1 - t) * F.greatest(F.lit(0.0), (u - m) / F.greatest(u - 1, F.lit(1.0)))
+    variance = spread * (2 - empty) ** 2 + (1 - t) * m * empty * (1 - empty) + mean * mean / SKETCH_BITS
+    flips = mean + SLACK * F.sqrt(variance) + 2
+    return SKETCH_BITS / 2 * (1 - F.exp(-2 * flips / SKETCH_BITS)) + 1
 
 
 _SIGNATURES = pa.schema(
@@ -134,7 +151,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 samples = min_hashes(s)
                 out["fp"].append(blake2b(s.tobytes(), digest_size=16).digest())
                 out["bands"].append(band_keys(samples))
-                out["sketch"].append(odd_sketch(samples))
+                out["sketch"].append(odd_sketch(s))
             else:
                 for k in ("fp", "bands", "sketch"):
                     out[k].append(None)
@@ -147,7 +164,7 @@ def _close(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two sides allow the similarity."""
     sizes = (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
     bits = sum((F.bit_count(F.get(f"{a}sketch", F.lit(k)).bitwiseXOR(F.get(f"{b}sketch", F.lit(k)))) for k in range(1, SKETCH_BITS // 64)), F.bit_count(F.get(f"{a}sketch", F.lit(0)).bitwiseXOR(F.get(f"{b}sketch", F.lit(0)))))
-    return sizes & (bits <= most_differing_bits(percent))
+    return sizes & (bits <= most_differing_bits(F.col(f"{a}n"), F.col(f"{b}n"), percent))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -235,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, id_col:
     sets = written(_sets(docs, members.select("rep").distinct(), n), "sets")
 
     links = comp = asked = None
-    for turn in (0, 1):
+    for turn in range(TURNS):
         tagged = members.withColumn("comp", F.col("rep"))
         if comp is not None:
             tagged = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
