@@ -6,22 +6,28 @@ minimisers, so when each super-k-mer travels as one packed string to the bucket
 minimiser, all copies of a window meet there, and sorting the windows of a bucket tells
 exactly in which document each starts first.
 
-Documents are dealt into parts of bounded size. A part sends each distinct super-k-mer once,
-with the smallest doc_id that it has in the part, however often it occurs; so a passage that stands
-in a third of all documents reaches its bucket once for each part, not once for each document.
-The bucket answers each part with the windows that start in a smaller document elsewhere.
+Documents are dealt into parts of bounded size, and everything travels at most once for each
+part, however often it occurs in it: a passage that stands in a third of all documents costs a
+row for each part, not for each document.
+
+1. Each part tells each bucket its distinct minimisers, as numbers; a minimiser that comes
+   only once has no copies, so its super-k-mers need not travel.
+2. Each part sends its distinct super-k-mers with shared minimisers, and the smallest doc_id of each.
+3. Each bucket sorts their windows and answers each part with the windows that start in a smaller document.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import id_and_text
+from ._batches import id_and_text, steps
 from ._shared import partitions
 
 WINDOW, PIECE = 13, 5
@@ -37,48 +43,55 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """32-bit hashes of words that are the same in every process."""
-    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    """Hashes of words that are the same in every process."""
+    return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1))
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    out = hashes[: len(hashes) - n + 1]
-    for k in range(1, n):
-        out = _mixed(out * _P + hashes[k : len(hashes) - n + 1 + k])
-    return out
-
-
-def super_kmers(words: list[bytes], k: int = WINDOW, m: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, window after the last, and minimiser hash of each super-k-mer of a text."""
-    if len(words) < k:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = _runs(_word_hashes(words), m)
-    least, width, want = h, 1, k - m + 1  # sliding minimum over `want` pieces, by doubling
+    """Hashes of all runs of n words, doubled up from shorter runs."""
+    if len(hashes) < n:
+        return hashes[:0]
+    out, done, have, width = None, 0, hashes, 1
+    while True:
+        power = np.uint64(pow(int(_P), width, 1 << 64))
+        if n & width:
+            out = have if out is None else out[: len(hashes) - done - width + 1] * power + have[done : len(hashes) - width + 1]
+            done += width
+        if done == n:
+            return _mixed(out[: len(hashes) - n + 1])
+        have = have[:-width] * power + have[width:]
+        width *= 2
+
+
+def _flat(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, and where each text begins (with an end)."""
+    each = [(t or "").encode().split() for t in texts]
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+    return list(chain.from_iterable(each)), at
+
+
+def super_kmers(hashes: np.ndarray, at: np.ndarray, k: int = WINDOW, m: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, window after the last, text and minimiser of each super-k-mer of all texts."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    least, width, want = _runs(hashes, m), 1, k - m + 1  # sliding minimum over `want` pieces, by doubling
     while width < want:
         step = min(width, want - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.append(first[1:], len(least)), least[first]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
+    whole = np.arange(n) + k <= at[text + 1]  # windows that end in the text they start in
+    new = np.ones(n, bool)
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
+    first = np.flatnonzero(new & whole)
+    stop = np.concatenate([np.flatnonzero((new | ~whole)[1:]) + 1, [n]])
+    return first, stop[np.searchsorted(stop, first, "right")], text[first], least[first]
 
 
-def _part_rows(table: pa.Table, k: int, m: int, buckets: int) -> dict[int, dict[bytes, tuple[int, int, bool]]]:
-    """bucket -> packed super-k-mer -> smallest doc_id of the part, minimiser, whether other documents of the part have it."""
-    out: dict[int, dict[bytes, tuple[int, int, bool]]] = {}
-    for i, text in zip(table["doc_id"].to_pylist(), table["text"]):
-        words = (text.as_py() or "").encode().split()
-        own = _LAST if i is None else i
-        a, b, h = super_kmers(words, k, m)
-        short = (h >> np.uint64(32)).tolist()
-        for s, e, bucket, mini in zip(a.tolist(), b.tolist(), (h % np.uint64(buckets)).tolist(), short):
-            packed = b" ".join(words[s : e + k - 1])
-            found = out.setdefault(bucket, {})
-            before = found.get(packed)
-            if before is None:
-                found[packed] = own, mini, False
-            elif own != before[0]:
-                found[packed] = min(own, before[0]), mini, True
-    return out
+def _keys(minimisers: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket in the upper and minimiser in the lower 32 bits."""
+    return (minimisers % np.uint64(buckets)) << np.uint64(32) | minimisers >> np.uint64(32)
 
 
 def _press(data: bytes) -> bytes:
@@ -96,11 +109,46 @@ def _unpress(data: bytes) -> bytes:
 _FACTS = np.dtype([("id", "<i8"), ("mini", "<u4"), ("more", "?")])
 
 
+def _blocks(docs: pa.Table) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Ids and texts of a part in blocks of bounded size; null ids become the largest id."""
+    for ids, texts in steps(docs.select(["doc_id", "text"]).to_batches()):
+        yield [_LAST if i is None else i for i in ids], texts
+
+
+def _part_minimisers(docs: pa.Table, k: int, m: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a part, and whether each occurs more than once in it."""
+    found = [np.empty(0, np.uint64)]
+    for _, texts in _blocks(docs):
+        words, at = _flat(texts)
+        found.append(_keys(super_kmers(_word_hashes(words), at, k, m)[3], buckets))
+    keys, count = np.unique(np.concatenate(found), return_counts=True)
+    return keys, count > 1
+
+
+def _part_strings(docs: pa.Table, shared: np.ndarray, k: int, m: int, buckets: int) -> dict[int, dict[bytes, tuple[int, int, bool]]]:
+    """bucket -> packed super-k-mer -> smallest doc_id of the part, minimiser, whether other documents of the part have it."""
+    out: dict[int, dict[bytes, tuple[int, int, bool]]] = {}
+    for ids, texts in _blocks(docs):
+        words, at = _flat(texts)
+        first, stop, text, mini = super_kmers(_word_hashes(words), at, k, m)
+        keys = _keys(mini, buckets)
+        use = np.flatnonzero(np.isin(keys, shared))
+        for s, e, t, key in zip(first[use].tolist(), stop[use].tolist(), text[use].tolist(), keys[use].tolist()):
+            own, packed = ids[t], b" ".join(words[s : e + k - 1])
+            found = out.setdefault(key >> 32, {})
+            before = found.get(packed)
+            if before is None:
+                found[packed] = own, key & 0xFFFFFFFF, False
+            elif own != before[0]:
+                found[packed] = min(own, before[0]), key & 0xFFFFFFFF, True
+    return out
+
+
 def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.ndarray], k: int) -> dict[int, list[tuple[bytes, int]]]:
     """part -> windows that the part has in a document after the first one, with that first doc_id.
 
-    Super-k-mers whose minimiser occurs once have no copies and are skipped. The windows of the
-    others are sorted by hash; equal neighbours are compared as text.
+    The windows of super-k-mers whose minimiser comes more than once are sorted by hash; equal
+    neighbours are compared as text.
     """
     if not strings:
         return {}
@@ -111,30 +159,26 @@ def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.
     keep = np.flatnonzero((count[back] > 1) | every["more"])
     if not len(keep):
         return {}
-    words = [flat[r].split(b" ") for r in keep.tolist()]
+    each = [flat[r].split(b" ") for r in keep.tolist()]
     owner, least, more = owners[keep], every["id"][keep], every["more"][keep]
-    hashes, where, offset = [], [], []
-    for r, w in enumerate(words):
-        got = _runs(_word_hashes(w), k)
-        hashes.append(got)
-        where.append(np.full(len(got), r))
-        offset.append(np.arange(len(got)))
-    hashes, where, offset = map(np.concatenate, (hashes, where, offset))
+    words = list(chain.from_iterable(each))
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    where = np.repeat(np.arange(len(each)), sizes)[: len(words) - k + 1]
+    hashes, offset = _runs(_word_hashes(words), k), np.flatnonzero(np.arange(len(where)) + k <= np.cumsum(sizes)[where])
+    hashes, where = hashes[offset], where[offset]
     order = np.argsort(hashes, kind="stable")
     hashes, where, offset = hashes[order], where[order], offset[order]
     edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    repeated = (np.diff(edges) > 1) | more[where[edges[:-1]]]
     out: dict[int, list[tuple[bytes, int]]] = {}
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a == 1 and not more[where[a]]:
-            continue
+    for a, b in zip(edges[:-1][repeated].tolist(), edges[1:][repeated].tolist()):
         same: dict[bytes, list[int]] = {}
-        for j in range(a, b):
-            r, o = int(where[j]), int(offset[j])
-            same.setdefault(b" ".join(words[r][o : o + k]), []).append(r)
+        for r, o in zip(where[a:b].tolist(), offset[a:b].tolist()):
+            same.setdefault(b" ".join(words[o : o + k]), []).append(r)
         for window, rows in same.items():
             if len(rows) > 1 or more[rows[0]]:
-                low = min(int(least[r]) for r in rows)
-                for p in {int(owner[r]) for r in rows}:
+                low = int(least[rows].min())
+                for p in set(owner[rows].tolist()):
                     out.setdefault(p, []).append((window, low))
     return out
 
@@ -148,13 +192,44 @@ def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str =
     One row out for each row in; other columns are not read.
     """
     spark = docs.sparkSession
-    n_parts, buckets = 4 * partitions(spark), 2 * partitions(spark)
+    n_parts, buckets = 4 * partitions(spark), partitions(spark)
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int"))
 
-    def send(table: pa.Table) -> pa.Table:
+    def tell(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        found = _part_rows(table, k, m, buckets)
+        keys, more = _part_minimisers(table, k, m, buckets)
+        edges = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
+        low = keys.astype(np.uint32)
+        return pa.table(
+            {
+                "part": pa.array([part] * len(full), pa.int32()),
+                "bucket": pa.array(full, pa.int32()),
+                "minis": pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
+                "more": pa.array([np.packbits(more[edges[b] : edges[b + 1]]).tobytes() for b in full], pa.binary()),
+            }
+        )
+
+    def share(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        minis = [np.frombuffer(x.as_py(), np.uint32) for x in table["minis"]]
+        more = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(y)) for x, y in zip(table["more"], minis)]
+        distinct, count = np.unique(np.concatenate(minis), return_counts=True)
+        shared = distinct[count > 1]
+        own = [y[np.isin(y, shared) | (z > 0)] for y, z in zip(minis, more)]
+        full = [j for j, y in enumerate(own) if len(y)]
+        return pa.table(
+            {
+                "part": table["part"].take(pa.array(full, pa.int64())).cast(pa.int32()),
+                "keys": pa.array([(y.astype(np.uint64) | np.uint64(bucket << 32)).tobytes() for y in map(own.__getitem__, full)], pa.binary()),
+            }
+        )
+
+    def send(docs_: pa.Table, shares: pa.Table) -> pa.Table:
+        shared = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for x in shares["keys"]]])
+        found = _part_strings(docs_, shared, k, m, buckets) if len(shared) else {}
+        part = docs_["part"][0].as_py() if docs_.num_rows else None
         return pa.table(
             {
                 "part": pa.array([part] * len(found), pa.int32()),
@@ -180,28 +255,32 @@ def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str =
         first: dict[bytes, int] = {}
         for packed, ids in zip(answers["packed"], answers["ids"]):
             first.update(zip(_unpress(packed.as_py()).split(b"\n"), np.frombuffer(_unpress(ids.as_py()), np.int64).tolist()))
-        starts = {hash(w[: w.find(b" ")]) for w in first}
+        known = np.sort(_runs(_word_hashes(b" ".join(first).split(b" ")), k)[::k]) if first else np.empty(0, np.uint64)
         n_words, n_removed, kept = [], [], []
-        for i, text in zip(docs_["doc_id"].to_pylist(), docs_["text"]):
-            words = (text.as_py() or "").encode().split()
-            own = _LAST if i is None else i
+        for ids, texts in _blocks(docs_):
+            words, at = _flat(texts)
             gone = np.zeros(len(words) + 1, np.int32)
-            if first:
-                for s in range(len(words) - k + 1):
-                    if hash(words[s]) in starts and first.get(b" ".join(words[s : s + k]), own) < own:
+            if len(known) and len(words) >= k:
+                text = np.repeat(np.arange(len(ids)), np.diff(at))
+                for s in np.flatnonzero(np.isin(_runs(_word_hashes(words), k), known)).tolist():
+                    t = text[s]
+                    if s + k <= at[t + 1] and first.get(b" ".join(words[s : s + k]), _LAST) < ids[t]:
                         gone[s] += 1
                         gone[s + k] -= 1
             out = np.cumsum(gone[:-1]) > 0
-            removed = int(out.sum())
-            n_words.append(len(words))
-            n_removed.append(removed)
-            kept.append(b" ".join([w for w, g in zip(words, out.tolist()) if not g] if removed else words))
+            removed = np.concatenate([[0], np.cumsum(out)])[at]
+            for a, b, c in zip(at.tolist(), at[1:].tolist(), np.diff(removed).tolist()):
+                n_words.append(b - a)
+                n_removed.append(c)
+                kept.append(b" ".join([w for w, g in zip(words[a:b], out[a:b].tolist()) if not g] if c else words[a:b]))
         return pa.table(
             {"doc_id": docs_["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary())}
         )
 
     dealt = rows.repartition(n_parts, "part")
-    sent = dealt.groupBy("part").applyInArrow(send, "part int, bucket int, packed binary, facts binary")
+    told = dealt.groupBy("part").applyInArrow(tell, "part int, bucket int, minis binary, more binary")
+    shares = told.groupBy("bucket").applyInArrow(share, "part int, keys binary")
+    sent = dealt.groupBy("part").cogroup(shares.groupBy("part")).applyInArrow(send, "part int, bucket int, packed binary, facts binary")
     answers = sent.groupBy("bucket").applyInArrow(meet, "part int, packed binary, ids binary")
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text binary")
 
