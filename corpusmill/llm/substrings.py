@@ -18,9 +18,8 @@ row for each part, not for each document.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,8 @@ from ._batches import id_and_text, steps
 from ._shared import partitions
 
 WINDOW, PIECE = 13, 5
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes one Python worker remembers.
+HASH_ENTRIES = 500_000
 #: Stands for a null id: it is larger than any other.
 _LAST = np.iinfo(np.int64).max
 
@@ -42,18 +42,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Hashes(dict):
+    """Word -> 64-bit hash, the same in every process."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > HASH_ENTRIES:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of words that are the same in every process."""
-    return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+def _runs(hashes: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hashes of all runs of n words, doubled up from shorter runs."""
     if len(hashes) < n:
         return hashes[:0]
     out, done, have, width = None, 0, hashes, 1
     while True:
-        power = np.uint64(pow(int(_P), width, 1 << 64))
+        power = np.uint64(pow(base, width, 1 << 64))
         if n & width:
             out = have if out is None else out[: len(hashes) - done - width + 1] * power + have[done : len(hashes) - width + 1]
             done += width
@@ -107,6 +121,13 @@ def _unpress(data: bytes) -> bytes:
 
 
 _FACTS = np.dtype([("id", "<i8"), ("mini", "<u4"), ("more", "?")])
+#: A window in an answer: 96 bits of hash, and the smallest doc_id that has it.
+_ANSWER = np.dtype([("hash", "<u8"), ("check", "<u4"), ("low", "<i8")])
+
+
+def _windows(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of all windows."""
+    return _runs(hashes, k), (_runs(hashes, k, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
 
 
 def _blocks(docs: pa.Table) -> Iterator[tuple[list[int], list[str | None]]]:
@@ -144,11 +165,11 @@ def _part_strings(docs: pa.Table, shared: np.ndarray, k: int, m: int, buckets: i
     return out
 
 
-def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.ndarray], k: int) -> dict[int, list[tuple[bytes, int]]]:
-    """part -> windows that the part has in a document after the first one, with that first doc_id.
+def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.ndarray], k: int) -> dict[int, np.ndarray]:
+    """part -> windows that the part has in a document after the first one, as _ANSWER rows.
 
     The windows of super-k-mers whose minimiser comes more than once are sorted by hash; equal
-    neighbours are compared as text.
+    neighbours are compared word by word.
     """
     if not strings:
         return {}
@@ -164,23 +185,32 @@ def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.
     words = list(chain.from_iterable(each))
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     where = np.repeat(np.arange(len(each)), sizes)[: len(words) - k + 1]
-    hashes, offset = _runs(_word_hashes(words), k), np.flatnonzero(np.arange(len(where)) + k <= np.cumsum(sizes)[where])
-    hashes, where = hashes[offset], where[offset]
-    order = np.argsort(hashes, kind="stable")
-    hashes, where, offset = hashes[order], where[order], offset[order]
-    edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
-    repeated = (np.diff(edges) > 1) | more[where[edges[:-1]]]
-    out: dict[int, list[tuple[bytes, int]]] = {}
-    for a, b in zip(edges[:-1][repeated].tolist(), edges[1:][repeated].tolist()):
-        same: dict[bytes, list[int]] = {}
-        for r, o in zip(where[a:b].tolist(), offset[a:b].tolist()):
-            same.setdefault(b" ".join(words[o : o + k]), []).append(r)
-        for window, rows in same.items():
-            if len(rows) > 1 or more[rows[0]]:
-                low = int(least[rows].min())
-                for p in set(owner[rows].tolist()):
-                    out.setdefault(p, []).append((window, low))
-    return out
+    whole = np.flatnonzero(np.arange(len(where)) + k <= np.cumsum(sizes)[where])
+    hashes, check = _windows(_word_hashes(words), k)
+    order = whole[np.argsort(hashes[whole], kind="stable")]
+    code: dict[bytes, int] = {}
+    codes = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    twins = np.flatnonzero(same)
+    for j in range(k):
+        twins = twins[codes[order[twins] + j] == codes[order[twins + 1] + j]]
+    if len(twins) < same.sum():  # different windows under one hash: their order by words decides
+        order = order[np.lexsort([*(codes[order + j] for j in reversed(range(k))), hashes[order]])]
+        same = np.all([codes[order[1:] + j] == codes[order[:-1] + j] for j in range(k)], 0)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    group = np.cumsum(np.concatenate([[True], ~same])) - 1
+    rows = where[order]
+    low = np.minimum.reduceat(least[rows], first)[group]
+    late = np.flatnonzero((least[rows] > low) | more[rows])  # parts that only have the first document need no answer
+    to = owner[rows[late]]
+    out = np.zeros(len(late), _ANSWER)
+    out["hash"], out["check"], out["low"] = hashes[order[late]], check[order[late]], low[late]
+    sort = np.lexsort([group[late], to])
+    to, group_, out = to[sort], group[late][sort], out[sort]
+    new = np.concatenate([[True], (to[1:] != to[:-1]) | (group_[1:] != group_[:-1])])[: len(to)]
+    to, out = to[new], out[new]
+    edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
+    return {int(to[a]): out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())}
 
 
 def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,36 +273,30 @@ def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str =
         strings = [_unpress(x.as_py()).split(b"\n") for x in table["packed"]]
         facts = [np.frombuffer(_unpress(x.as_py()), _FACTS) for x in table["facts"]]
         found = _bucket_minima(table["part"].to_pylist(), strings, facts, k)
-        return pa.table(
-            {
-                "part": pa.array(list(found), pa.int32()),
-                "packed": pa.array([_press(b"\n".join(w for w, _ in r)) for r in found.values()], pa.binary()),
-                "ids": pa.array([_press(np.array([i for _, i in r], np.int64).tobytes()) for r in found.values()], pa.binary()),
-            }
-        )
+        return pa.table({"part": pa.array(list(found), pa.int32()), "windows": pa.array([r.tobytes() for r in found.values()], pa.binary())})
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        first: dict[bytes, int] = {}
-        for packed, ids in zip(answers["packed"], answers["ids"]):
-            first.update(zip(_unpress(packed.as_py()).split(b"\n"), np.frombuffer(_unpress(ids.as_py()), np.int64).tolist()))
-        known = np.sort(_runs(_word_hashes(b" ".join(first).split(b" ")), k)[::k]) if first else np.empty(0, np.uint64)
+        known = np.concatenate([np.empty(0, _ANSWER), *[np.frombuffer(x.as_py(), _ANSWER) for x in answers["windows"]]])
+        known = known[np.argsort(known["hash"], kind="stable")]
+        maybe = np.zeros(1 << 20, bool)  # a quick test before the search
+        maybe[known["hash"] >> np.uint64(44)] = True
         n_words, n_removed, kept = [], [], []
         for ids, texts in _blocks(docs_):
             words, at = _flat(texts)
-            gone = np.zeros(len(words) + 1, np.int32)
+            gone = np.zeros(len(words) + 1, np.int64)
             if len(known) and len(words) >= k:
-                text = np.repeat(np.arange(len(ids)), np.diff(at))
-                for s in np.flatnonzero(np.isin(_runs(_word_hashes(words), k), known)).tolist():
-                    t = text[s]
-                    if s + k <= at[t + 1] and first.get(b" ".join(words[s : s + k]), _LAST) < ids[t]:
-                        gone[s] += 1
-                        gone[s + k] -= 1
+                hashes, check = _windows(_word_hashes(words), k)
+                text = np.repeat(np.arange(len(ids)), np.diff(at))[: len(hashes)]
+                s = np.flatnonzero(maybe[hashes >> np.uint64(44)] & (np.arange(len(hashes)) + k <= at[text + 1]))
+                j = np.minimum(np.searchsorted(known["hash"], hashes[s]), len(known) - 1)
+                hit = (known["hash"][j] == hashes[s]) & (known["check"][j] == check[s]) & (known["low"][j] < np.array(ids, np.int64)[text[s]])
+                gone += np.bincount(s[hit], minlength=len(gone)) - np.bincount(s[hit] + k, minlength=len(gone))
             out = np.cumsum(gone[:-1]) > 0
             removed = np.concatenate([[0], np.cumsum(out)])[at]
             for a, b, c in zip(at.tolist(), at[1:].tolist(), np.diff(removed).tolist()):
                 n_words.append(b - a)
                 n_removed.append(c)
-                kept.append(b" ".join([w for w, g in zip(words[a:b], out[a:b].tolist()) if not g] if c else words[a:b]))
+                kept.append(b" ".join(list(compress(words[a:b], (~out[a:b]).tolist())) if c else words[a:b]))
         return pa.table(
             {"doc_id": docs_["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary())}
         )
@@ -281,7 +305,7 @@ def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str =
     told = dealt.groupBy("part").applyInArrow(tell, "part int, bucket int, minis binary, more binary")
     shares = told.groupBy("bucket").applyInArrow(share, "part int, keys binary")
     sent = dealt.groupBy("part").cogroup(shares.groupBy("part")).applyInArrow(send, "part int, bucket int, packed binary, facts binary")
-    answers = sent.groupBy("bucket").applyInArrow(meet, "part int, packed binary, ids binary")
+    answers = sent.groupBy("bucket").applyInArrow(meet, "part int, windows binary")
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text binary")
 
 
