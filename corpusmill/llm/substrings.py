@@ -18,7 +18,8 @@ row for each part, not for each document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from itertools import chain, compress
 
 import numpy as np
@@ -30,8 +31,7 @@ from ._batches import id_and_text, steps
 from ._shared import partitions
 
 WINDOW, PIECE = 13, 5
-#: Words whose hashes one Python worker remembers.
-HASH_ENTRIES = 500_000
+_BASE = 0x9E3779B97F4A7C15
 #: Stands for a null id: it is larger than any other.
 _LAST = np.iinfo(np.int64).max
 
@@ -42,32 +42,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, the same in every process."""
+def _word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """Hashes of n words that are the same in every process."""
+    return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, n) + np.uint64(1))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > HASH_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def _runs(hashes: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, doubled up from shorter runs."""
     if len(hashes) < n:
         return hashes[:0]
     out, done, have, width = None, 0, hashes, 1
     while True:
-        power = np.uint64(pow(base, width, 1 << 64))
+        power = np.uint64(pow(_BASE, width, 1 << 64))
         if n & width:
             out = have if out is None else out[: len(hashes) - done - width + 1] * power + have[done : len(hashes) - width + 1]
             done += width
@@ -121,13 +107,14 @@ def _unpress(data: bytes) -> bytes:
 
 
 _FACTS = np.dtype([("id", "<i8"), ("mini", "<u4"), ("more", "?")])
-#: A window in an answer: 96 bits of hash, and the smallest doc_id that has it.
-_ANSWER = np.dtype([("hash", "<u8"), ("check", "<u4"), ("low", "<i8")])
+#: A window in an answer: the upper half of its rolled hash, a 64-bit hash of its text, and the smallest doc_id that has it.
+_ANSWER = np.dtype([("hash", "<u4"), ("text", "<u8"), ("low", "<i8")])
+
 
+def _text_hash(words: list[bytes]) -> int:
+    import xxhash
 
-def _windows(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of all windows."""
-    return _runs(hashes, k), (_runs(hashes, k, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
 
 
 def _blocks(docs: pa.Table) -> Iterator[tuple[list[int], list[str | None]]]:
@@ -141,7 +128,7 @@ def _part_minimisers(docs: pa.Table, k: int, m: int, buckets: int) -> tuple[np.n
     found = [np.empty(0, np.uint64)]
     for _, texts in _blocks(docs):
         words, at = _flat(texts)
-        found.append(_keys(super_kmers(_word_hashes(words), at, k, m)[3], buckets))
+        found.append(_keys(super_kmers(_word_hashes(words, len(words)), at, k, m)[3], buckets))
     keys, count = np.unique(np.concatenate(found), return_counts=True)
     return keys, count > 1
 
@@ -151,7 +138,7 @@ def _part_strings(docs: pa.Table, shared: np.ndarray, k: int, m: int, buckets: i
     out: dict[int, dict[bytes, tuple[int, int, bool]]] = {}
     for ids, texts in _blocks(docs):
         words, at = _flat(texts)
-        first, stop, text, mini = super_kmers(_word_hashes(words), at, k, m)
+        first, stop, text, mini = super_kmers(_word_hashes(words, len(words)), at, k, m)
         keys = _keys(mini, buckets)
         use = np.flatnonzero(np.isin(keys, shared))
         for s, e, t, key in zip(first[use].tolist(), stop[use].tolist(), text[use].tolist(), keys[use].tolist()):
@@ -186,10 +173,10 @@ def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     where = np.repeat(np.arange(len(each)), sizes)[: len(words) - k + 1]
     whole = np.flatnonzero(np.arange(len(where)) + k <= np.cumsum(sizes)[where])
-    hashes, check = _windows(_word_hashes(words), k)
+    code = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    codes = np.fromiter(map(code.__getitem__, words), np.int32, len(words))
+    hashes = _runs(_word_hashes(code, len(code))[codes], k)
     order = whole[np.argsort(hashes[whole], kind="stable")]
-    code: dict[bytes, int] = {}
-    codes = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
     same = hashes[order[1:]] == hashes[order[:-1]]
     twins = np.flatnonzero(same)
     for j in range(k):
@@ -202,13 +189,18 @@ def _bucket_minima(parts: list[int], strings: list[list[bytes]], facts: list[np.
     rows = where[order]
     low = np.minimum.reduceat(least[rows], first)[group]
     late = np.flatnonzero((least[rows] > low) | more[rows])  # parts that only have the first document need no answer
-    to = owner[rows[late]]
-    out = np.zeros(len(late), _ANSWER)
-    out["hash"], out["check"], out["low"] = hashes[order[late]], check[order[late]], low[late]
-    sort = np.lexsort([group[late], to])
-    to, group_, out = to[sort], group[late][sort], out[sort]
-    new = np.concatenate([[True], (to[1:] != to[:-1]) | (group_[1:] != group_[:-1])])[: len(to)]
-    to, out = to[new], out[new]
+    sort = late[np.lexsort([group[late], owner[rows[late]]])]
+    to, of = owner[rows[sort]], group[sort]
+    new = np.concatenate([[True], (to[1:] != to[:-1]) | (of[1:] != of[:-1])])[: len(to)]
+    to, sort = to[new], sort[new]
+    out = np.zeros(len(to), _ANSWER)
+    out["hash"], out["low"] = hashes[order[sort]] >> np.uint64(32), low[sort]
+    known: dict[int, int] = {}  # the text of a group is hashed once
+    for j, (g, o) in enumerate(zip(group[sort].tolist(), order[sort].tolist())):
+        h = known.get(g)
+        if h is None:
+            h = known[g] = _text_hash(words[o : o + k])
+        out["text"][j] = h
     edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
     return {int(to[a]): out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())}
 
@@ -277,20 +269,20 @@ def mark_repeats(docs: DataFrame, k: int = WINDOW, m: int = PIECE, id_col: str =
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.concatenate([np.empty(0, _ANSWER), *[np.frombuffer(x.as_py(), _ANSWER) for x in answers["windows"]]])
-        known = known[np.argsort(known["hash"], kind="stable")]
-        maybe = np.zeros(1 << 20, bool)  # a quick test before the search
-        maybe[known["hash"] >> np.uint64(44)] = True
+        first = dict(zip(known["text"].tolist(), known["low"].tolist()))
+        maybe = np.zeros(1 << 22, bool)  # a quick test before a text is hashed
+        maybe[known["hash"] >> np.uint32(10)] = True
         n_words, n_removed, kept = [], [], []
         for ids, texts in _blocks(docs_):
             words, at = _flat(texts)
             gone = np.zeros(len(words) + 1, np.int64)
-            if len(known) and len(words) >= k:
-                hashes, check = _windows(_word_hashes(words), k)
+            if first and len(words) >= k:
+                hashes = _runs(_word_hashes(words, len(words)), k)
                 text = np.repeat(np.arange(len(ids)), np.diff(at))[: len(hashes)]
-                s = np.flatnonzero(maybe[hashes >> np.uint64(44)] & (np.arange(len(hashes)) + k <= at[text + 1]))
-                j = np.minimum(np.searchsorted(known["hash"], hashes[s]), len(known) - 1)
-                hit = (known["hash"][j] == hashes[s]) & (known["check"][j] == check[s]) & (known["low"][j] < np.array(ids, np.int64)[text[s]])
-                gone += np.bincount(s[hit], minlength=len(gone)) - np.bincount(s[hit] + k, minlength=len(gone))
+                s = np.flatnonzero(maybe[hashes >> np.uint64(42)] & (np.arange(len(hashes)) + k <= at[text + 1]))
+                low = np.fromiter((first.get(_text_hash(words[a : a + k]), _LAST) for a in s.tolist()), np.int64, len(s))
+                s = s[low < np.array(ids, np.int64)[text[s]]]
+                gone += np.bincount(s, minlength=len(gone)) - np.bincount(s + k, minlength=len(gone))
             out = np.cumsum(gone[:-1]) > 0
             removed = np.concatenate([[0], np.cumsum(out)])[at]
             for a, b, c in zip(at.tolist(), at[1:].tolist(), np.diff(removed).tolist()):
