@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._batches import id_and_text, map_texts
 
 #: Entries of the merge cache of one Python worker; it is emptied beyond that.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 BLOCK = 128
 
 # White space of the Unicode property White_Space (fixed values).
