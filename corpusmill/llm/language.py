@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._batches import id_and_text, map_texts
 
 #: Rows of each language that training takes at most, and languages at most.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1_500, 200
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 800, 200
 #: Windows of characters that training draws from each sampled text, and their length.
 WINDOWS, WINDOW_CHARS = 3, 240
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 4, 0.1
@@ -116,7 +116,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     codes, at = features(samples)
     if not len(codes):
         return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0, 0.0)
-    buckets = np.stack(hashed(codes), 1)
+    buckets = np.stack([b.astype(np.uint16) for b in hashed(codes)], 1)
+    del codes
     y = np.array(wanted)
     group = np.arange(len(samples)) // WINDOWS  # windows of one text stay on one side
     some = at[1:] > at[:-1]
