@@ -38,7 +38,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of what they decode to."""
-    done = bpe.decode_documents(bpe.encode_documents(docs))
+    done = bpe.encode_documents(docs, decode=True)
     return done.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),

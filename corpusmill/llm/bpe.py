@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._batches import id_and_text, map_texts
 
 #: Entries of the merge cache of one Python worker; it is emptied beyond that.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 BLOCK = 128
 
 # White space of the Unicode property White_Space (fixed values).
@@ -249,20 +249,30 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, bytes]]:
         yield b"".join(ids[a:b]), (at[a:b] - at[a]).astype("<u4").tobytes()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decoded(ids: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode_documents(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """doc_id, ids binary (little-endian unsigned 32-bit), offsets binary (byte offset of each pre-token).
 
-    One row out for each row in; a null or empty text has no ids; repeated rows and null ids
-    are kept as they are; other columns are not read. Every single byte must have a rank.
+    With `decode`, also decoded binary, made from the ids in the same pass. One row out for each row in;
+    a null or empty text has no ids; repeated rows and null ids are kept as they are; other
+    columns are not read. Every single byte must have a rank.
     """
     path = ranks_path or default_ranks()
 
     def work(ids: list, texts: list) -> dict:
         both = list(encode_texts([t or "" for t in texts], path))
-        return {"doc_id": ids, "ids": [x for x, _ in both], "offsets": [y for _, y in both]}
+        out = {"doc_id": ids, "ids": [x for x, _ in both], "offsets": [y for _, y in both]}
+        if decode:
+            pieces = _pieces(path)
+            out["decoded"] = [_decoded(x, pieces) for x, _ in both]
+        return out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
-    return map_texts(id_and_text(docs, id_col, text_col), work, schema, "doc_id long, ids binary, offsets binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())] + [("decoded", pa.binary())] * decode)
+    ddl = "doc_id long, ids binary, offsets binary" + ", decoded binary" * decode
+    return map_texts(id_and_text(docs, id_col, text_col), work, schema, ddl)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -272,7 +282,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in batch.column(1)]
+            decoded = [_decoded(x.as_buffer(), pieces) if x.is_valid else b"" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(decoded, pa.binary())], names=["doc_id", "ids", "offsets", "decoded"])
 
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, ids binary, offsets binary, decoded binary")
@@ -288,7 +298,7 @@ def decode_slice(ids: bytes, offsets: bytes, start: int, stop: int, ranks_path:
 
 def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
-    done = decode_documents(encode_documents(docs, ranks_path), ranks_path)
+    done = encode_documents(docs, ranks_path, decode=True)
     return done.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),

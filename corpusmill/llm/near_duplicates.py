@@ -36,7 +36,7 @@ SAMPLES = ROWS * BANDS
 SKETCH_BINS, SKETCH_BITS = 1024, 1024
 #: Standard deviations that a pair's sketch may fall short of the wanted similarity.
 SLACK = 5.0
-HASH_ENTRIES = 500_000
+HASH_ENTRIES = 150_000
 #: Star turns before the remaining pairs are taken up one by one.
 TURNS = 2
 
