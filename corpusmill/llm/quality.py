@@ -8,12 +8,11 @@ words under them.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._batches import id_and_text, map_texts
 
@@ -123,8 +122,11 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns, decided row by row without a shuffle."""
+    at = docs.columns.index(text_col)
 
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series([measure(t)[-1] for t in texts], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            yield batch.filter(pa.array([measure(t.as_py())[-1] for t in texts], pa.bool_()))
 
-    return docs.filter(F.pandas_udf(good, "boolean")(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)
