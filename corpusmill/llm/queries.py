@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language, near_duplicates, personal_data, quality, secret_scan, substrings, token_counts, urls
+from . import bpe, decontamination, language, near_duplicates, personal_data, quality, secret_scan, sql, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,4 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": _over(bpe.bpe_digests, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": urls.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": sql.SUBSTRINGS,
+    "op7_url_filter": urls.SQL,
+    "op8_near_duplicates": sql.NEAR_DUPLICATES,
+    "op9_quality_rules": sql.QUALITY,
+}
