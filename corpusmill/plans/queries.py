@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..operators import chunking, cleaning, curation, reports, splitting
+from ..operators import chunking, cleaning, curation, graph, mapping, reports, similarity, splitting
 from ..sources.tables import read_table
+from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,3 +172,55 @@ def message_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens FROM documents")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@_query(
+    """WITH RECURSIVE t AS (SELECT doc_id, sha256(text) AS token FROM documents UNION SELECT doc_id, 'line:' || string_split(text, chr(10))[1] FROM documents),
+r AS (SELECT DISTINCT doc_id AS node, doc_id AS label FROM t UNION SELECT b.doc_id, r.label FROM r JOIN t a ON a.doc_id = r.node JOIN t b ON a.token = b.token)
+SELECT node AS record_id, min(label) AS group_id FROM r GROUP BY 1"""
+)
+def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    same = docs.select("record_id", F.sha2("text", 256).alias("token"))
+    line = docs.select("record_id", F.concat(F.lit("line:"), F.substring_index("text", "\n", 1)).alias("token"))
+    return graph.leakage_groups(same.union(line))
+
+
+@_query(
+    """WITH n AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark),
+s AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM n) WHERE t <> ''),
+z AS (SELECT item_id, count(*) AS size FROM s GROUP BY 1),
+p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.item_id < y.item_id GROUP BY 1, 2)
+SELECT a, b, c * 1000000 // (u.size + v.size - c) AS similarity_ppm FROM p JOIN z u ON u.item_id = a JOIN z v ON v.item_id = b
+WHERE c * 1000000 // (u.size + v.size - c) >= 30000"""
+)
+def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_pairs(read_table(spark, sf_dir, "benchmark"), "item_id", "text", 30_000)
+
+
+@_query(
+    """WITH u AS (SELECT conv_id, min(turn) AS ut FROM conversations WHERE role = 'user' GROUP BY 1),
+a AS (SELECT c.conv_id, ut, min(turn) AS reply FROM conversations c JOIN u USING (conv_id) WHERE role = 'assistant' AND turn > ut GROUP BY 1, 2)
+SELECT a.conv_id, sha256(x.text) AS instruction_sha256, '' AS input, sha256(y.text) AS output_sha256 FROM a
+JOIN conversations x ON x.conv_id = a.conv_id AND x.turn = ut JOIN conversations y ON y.conv_id = a.conv_id AND y.turn = reply"""
+)
+def alpaca_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.alpaca(mapping.first_exchanges(read_table(spark, sf_dir, "conversations")))
+    return _digest(rows, "instruction", "output")
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.event_counts(read_table(spark, sf_dir, "events"))
+
+
+@_query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<p[ >]'))::BIGINT AS paragraphs FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("(?i)<p[ >]")).cast("long").alias("paragraphs"))
+
+
+@_query("SELECT lang, quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3")
+def label_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.join(read_table(spark, sf_dir, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))

@@ -57,3 +57,73 @@ def test_similarity_of_normalised_texts(spark):
 def test_detectors_hit_once_for_each_document(spark):
     docs = rows(spark, [(1, "a@b.org c@d.org <SCRIPT >"), (2, None), (3, "AKIA" + "A" * 16)], "doc_id long, text string")
     assert sorted((r.doc_id, r.detector) for r in reports.detector_hits(docs).collect()) == [(1, "pii-email"), (1, "unsafe-script-tag"), (3, "secret-aws-access-key")]
+
+
+def test_pairs_of_the_prefix_join_equal_all_pairs(spark):
+    import random
+
+    from corpusmill.operators.similarity import similar_pairs
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    norm = [" ".join(t.split()).lower() for t in texts]
+    sets = [{t[k : k + 5] for k in range(max(1, len(t) - 4))} if t else set() for t in norm]
+    frame = rows(spark, list(enumerate(texts)), "id long, text string")
+    for ppm in (300_000, 800_000, 1_000_000):
+        want = {(i, j, len(sets[i] & sets[j]) * 1_000_000 // len(sets[i] | sets[j])) for i in range(60) for j in range(i + 1, 60) if sets[i] and sets[j]}
+        got = {(r.a, r.b, r.similarity_ppm) for r in similar_pairs(frame, "id", "text", ppm).collect()}
+        assert got == {w for w in want if w[2] >= ppm}
+
+
+def test_groups_are_transitive(spark):
+    from corpusmill.operators.graph import leakage_groups
+
+    chain = [(i, f"t{i}") for i in range(30)] + [(i + 1, f"t{i}") for i in range(29)] + [(99, "alone"), (None, "t1"), (98, None)]
+    got = {r.record_id: r.group_id for r in leakage_groups(rows(spark, chain, "record_id long, token string")).collect()}
+    assert got == {**dict.fromkeys(range(30), 0), 99: 99}
+
+
+def test_mapping_rejects_the_first_bad_field(spark):
+    from corpusmill.operators.mapping import map_rows
+
+    data = [('{"a": {"b/c": ["x", "y"]}, "t": "u"}',), ('{"a": {"b/c": ["x"]}, "t": "u"}',), ('{"a": {"b/c": ["x", "y"]}, "t": ""}',)]
+    got = map_rows(rows(spark, data, "payload string"), "payload", {"prompt": "/a/b~1c/1", "completion": "t"}).collect()
+    assert [(r.prompt, r.reject) for r in got] == [("y", None), (None, "missing-path:prompt"), ("y", "empty-string:completion")]
+
+
+def test_keyed_hash_equals_the_standard_one(spark):
+    import hmac
+
+    from corpusmill.operators.review import hmac_sha256, review_sample
+
+    for key in (b"k", b"long" * 30):
+        got = rows(spark, [("é1",), ("",)], "s string").select(hmac_sha256(key, F.col("s")).alias("h")).collect()
+        assert [r.h for r in got] == [hmac.new(key, m.encode(), "sha256").hexdigest() for m in ("é1", "")]
+    assert review_sample(rows(spark, [(f"s{i}",) for i in range(9)], "subject string"), 3, "seed").count() == 3
+
+
+def test_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    from corpusmill.streaming.windows import event_counts
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = event_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    key = lambda r: (str(r.start), r.event_type, r.n)
+    assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, event_counts(events).collect()))
+
+
+def test_written_rows_come_back(spark, tmp_path):
+    from corpusmill.sources.tables import collect_files, read_texts, write_rows
+
+    data = rows(spark, [("a", 'say "x", y\nz'), ("b", "é")], "split string, text string")
+    for form in ("parquet", "jsonl", "csv"):
+        write_rows(data, str(tmp_path / form), form)
+    assert sorted(map(tuple, spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv")).collect())) == sorted(map(tuple, data.collect()))
+    assert spark.read.json(str(tmp_path / "jsonl")).count() == spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+    for name, text in (("a.txt", "one\n \ntwo"), ("b.txt", "one\n \ntwo"), ("c.txt", "three")):
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        (tmp_path / "docs" / name).write_text(text)
+    assert sorted(r.status.split(":")[0] for r in collect_files(spark, str(tmp_path / "docs")).collect()) == ["accepted", "accepted", "duplicate-bytes"]
+    assert [r.text for r in read_texts(spark, str(tmp_path / "docs" / "a.txt")).orderBy("block").collect()] == ["one", "two"]
