@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
 from ..operators import chunking, cleaning, curation, graph, mapping, reports, similarity, splitting
+from ..sources import html
 from ..sources.tables import read_table
 from ..streaming import windows
 
@@ -224,3 +225,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     return docs.join(read_table(spark, sf_dir, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(html.SQL)
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.blocks(read_table(spark, sf_dir, "pages"))

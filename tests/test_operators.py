@@ -127,3 +127,11 @@ def test_written_rows_come_back(spark, tmp_path):
         (tmp_path / "docs" / name).write_text(text)
     assert sorted(r.status.split(":")[0] for r in collect_files(spark, str(tmp_path / "docs")).collect()) == ["accepted", "accepted", "duplicate-bytes"]
     assert [r.text for r in read_texts(spark, str(tmp_path / "docs" / "a.txt")).orderBy("block").collect()] == ["one", "two"]
+
+
+def test_blocks_of_a_page_have_levels_and_sections(spark):
+    from corpusmill.sources.html import blocks
+
+    page = "<html><script>var t='<p>no</p>'</script><h1 class=a>Top &amp; one</h1><p>First <b>bold</b>\n text</p><h2>Two</h2><p> </p><li>x</li></html>"
+    got = [tuple(r) for r in blocks(rows(spark, [(1, page), (2, None), (3, "plain")], "page_id long, html string")).orderBy("block").collect()]
+    assert got == [(1, 0, 1, 1, "Top & one"), (1, 1, 0, 1, "First bold text"), (1, 2, 2, 2, "Two"), (1, 3, 0, 2, "x")]
