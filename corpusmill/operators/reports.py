@@ -45,12 +45,12 @@ def reference_leakage(docs: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def message_rejects(turns: DataFrame) -> DataFrame:
-    """conv_id, reason: why a conversation is not exactly one user and one assistant turn with content; null if it is."""
-    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    role = lambda k: F.get("m", F.lit(k))["role"]
-    reason = (
-        F.when(F.size("m") != 2, "turn-count")
-        .when((role(0) != "user") | (role(1) != "assistant"), "role-order")
-        .when(F.exists("m", lambda t: F.coalesce(t["text"], F.lit("")) == ""), "empty-content")
-    )
-    return rows.select("conv_id", reason.alias("reason"))
+    """conv_id, reason: why a conversation is not exactly one user and one assistant turn with content; null if it is.
+
+    The first and last turn and a count decide, so a conversation of any length is a partial aggregate.
+    """
+    turn = F.struct("turn", "role", "text")
+    blank = F.bool_or(F.coalesce("text", F.lit("")) == "").alias("blank")
+    rows = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(turn)["role"].alias("a"), F.max(turn)["role"].alias("b"), blank)
+    wrong = ~(F.col("a").eqNullSafe("user") & F.col("b").eqNullSafe("assistant"))
+    return rows.select("conv_id", F.when(F.col("n") != 2, "turn-count").when(wrong, "role-order").when(F.col("blank"), "empty-content").alias("reason"))

@@ -135,3 +135,45 @@ def test_blocks_of_a_page_have_levels_and_sections(spark):
     page = "<html><script>var t='<p>no</p>'</script><h1 class=a>Top &amp; one</h1><p>First <b>bold</b>\n text</p><h2>Two</h2><p> </p><li>x</li></html>"
     got = [tuple(r) for r in blocks(rows(spark, [(1, page), (2, None), (3, "plain")], "page_id long, html string")).orderBy("block").collect()]
     assert got == [(1, 0, 1, 1, "Top & one"), (1, 1, 0, 1, "First bold text"), (1, 2, 2, 2, "Two"), (1, 3, 0, 2, "x")]
+
+
+def test_sentences_end_where_readers_expect(spark):
+    texts = {
+        1: "Dr. Who came. He left! \"Why?\" asked e.g. the crowd. no capital. 3 went.",
+        2: "\u4f60\u597d\u3002\u518d\u89c1\u3002",
+        3: "\u041f\u0440\u0438\u0432\u0435\u0442. \u041a\u0430\u043a?",
+        4: None,
+        5: "  ",
+    }
+    got = chunking.sentences(rows(spark, list(texts.items()), "doc_id long, text string"), 1).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.chunk) for r in got] == [
+        (1, "Dr. Who came."),
+        (1, "He left!"),
+        (1, "\"Why?\" asked e.g. the crowd. no capital."),
+        (1, "3 went."),
+        (2, "\u4f60\u597d\u3002"),
+        (2, "\u518d\u89c1\u3002"),
+        (3, "\u041f\u0440\u0438\u0432\u0435\u0442."),
+        (3, "\u041a\u0430\u043a?"),
+    ]
+
+
+def test_heading_paths_follow_levels(spark):
+    data = [(1, 0, 0, "a"), (1, 1, 1, "A"), (1, 2, 3, "C"), (1, 3, 0, "b"), (1, 4, 2, "B"), (1, 5, 1, "D"), (1, 6, 2, "E")]
+    got = chunking.heading_paths(rows(spark, data, "page_id long, block long, level long, text string")).orderBy("block").collect()
+    assert [r.path for r in got] == [[], ["A"], ["A", "C"], ["A", "C"], ["A", "B"], ["D"], ["D", "E"]]
+
+
+def test_blocks_lie_in_the_windows_they_touch(spark):
+    docs = rows(spark, [(1, "aaaa\nbb\n \ncccccccccc\nd"), (2, "")], "doc_id long, text string")
+    placed = chunking.line_blocks(docs)
+    at = {r.block: (r.start, r.end) for r in placed.collect()}
+    assert at == {0: (0, 4), 1: (6, 8), 2: (10, 20), 3: (22, 23)}
+    got = {(r.block, r.seq) for r in chunking.blocks_in_windows(placed, 5, 2).collect()}
+    assert got == {(b, k) for b, (s, e) in at.items() for k in range(9) if s < 3 * k + 5 and e > 3 * k}
+
+
+def test_own_rules_and_repeated_lines(spark):
+    docs = rows(spark, [(1, "Head\nx1\n head\nHead\nHead "), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in cleaning.drop_repeated_lines(docs).collect()} == {1: "x1\n head", 2: None}
+    assert docs.select(cleaning.custom(r"(x)(\d)", r"\2$\1")(F.col("text")).alias("t")).first().t == "Head\n1$x\n head\nHead\nHead "
