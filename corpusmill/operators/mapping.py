@@ -34,3 +34,122 @@ def first_exchanges(turns: DataFrame) -> DataFrame:
     users = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("u"))
     pairs = turns.filter("role = 'assistant'").join(users, "conv_id").filter(F.col("turn") > F.col("u.turn"))
     return pairs.groupBy("conv_id").agg(F.first("u.text").alias("prompt"), F.min(F.struct("turn", "text"))["text"].alias("completion"))
+
+
+def kind_at(payload: Column, pointer: str) -> Column:
+    """The JSON type at a pointer (STRING, VOID for JSON null, ...); null where there is nothing or no JSON."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), pointer_path(pointer), "variant"))
+
+
+def reject_code(payload: Column, fields: dict[str, str], membership: str = "replaced") -> Column:
+    """Why a row cannot be mapped, first failing check first; null if it can.
+
+    Keys that no field reads are refused, so are missing paths, values that are not strings, empty strings and,
+    unless membership is replaced, a partition other than train or evaluation. A row that is no object has no keys
+    and fails at its first path.
+    """
+    heads = [pointer_path(p) for p in fields.values()]
+    known = [h[3:].split("']")[0] for h in heads if h.startswith("$['")] + ([] if membership == "replaced" else ["partition"])
+    extra = F.size(F.array_except(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), F.array(*map(F.lit, known)))) > 0
+    code = F.when(extra, "unmapped-keys")
+    for pointer in fields.values():
+        kind = kind_at(payload, pointer)
+        code = code.when(kind.isNull(), "missing-source-path").when(kind != "STRING", "non-string-value").when(resolve(payload, pointer) == "", "empty-required-string")
+    if membership != "replaced":
+        code = code.when(~F.coalesce(resolve(payload, "partition").isin("train", "evaluation"), F.lit(False)), "invalid-partition")
+    return code
+
+
+def rejections(rows: DataFrame, payload: str, fields: dict[str, str], membership: str = "replaced") -> DataFrame:
+    """reason_code (null: accepted), n."""
+    return rows.groupBy(reject_code(F.col(payload), fields, membership).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# What each kind of row must hold.
+DETECTORS = {
+    "flat-text": ("text",),
+    "prompt-completion": ("prompt", "completion"),
+    "alpaca-instruction-output": ("instruction", "input", "output"),
+    "two-turn-messages": ("messages",),
+    "context-label-annotator": ("context", "label", "annotator"),
+    "prompt-chosen-rejected": ("prompt", "chosen", "rejected"),
+    "conversation-and-tool-trace": ("conversation_id", "turns"),
+    "prompt-and-steps": ("prompt", "steps"),
+}
+
+
+def detect(rows: DataFrame, payload: str) -> DataFrame:
+    """detector, proposed: whether every row has all the paths of a kind of row; one pass. An empty table proposes none."""
+    found = [F.coalesce(F.bool_and(F.forall(F.array(*[F.coalesce(kind_at(F.col(payload), p) != "VOID", F.lit(False)) for p in paths]), lambda x: x)), F.lit(False)) for paths in DETECTORS.values()]
+    flags = rows.agg(F.array(*[F.struct(F.lit(name).alias("detector"), flag.alias("proposed")) for name, flag in zip(DETECTORS, found)]).alias("f"))
+    return flags.select(F.inline("f"))
+
+
+def messages_ok(messages: Column) -> Column:
+    """Whether an array of (role, content) is one user and one assistant turn with content."""
+    full = F.forall(messages, lambda m: F.coalesce(m["content"], F.lit("")) != "")
+    return F.coalesce((F.size(messages) == 2) & F.get(messages, F.lit(0))["role"].eqNullSafe("user") & F.get(messages, F.lit(1))["role"].eqNullSafe("assistant") & full, F.lit(False))
+
+
+def steps_ok(steps: Column) -> Column:
+    """Whether there are two steps or more, none empty."""
+    return F.coalesce((F.size(steps) >= 2) & F.forall(steps, lambda s: F.coalesce(s, F.lit("")) != ""), F.lit(False))
+
+
+def tool_turns_ok(turns: Column) -> Column:
+    """Whether an array of (role, content, tool_call_id, tool_calls) is a tool trace.
+
+    Three turns or more with content; users carry neither id nor calls, assistants no id; tool and function turns an id;
+    calls, where given, are complete; a call or a tool turn occurs; the last turn is an assistant's without calls.
+    """
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    calls_ok = lambda t: (F.size(t["tool_calls"]) > 0) & F.forall(t["tool_calls"], lambda c: filled(c["id"]) & filled(c["name"]) & filled(c["arguments"]))
+    by_tool = lambda t: t["role"].isin("tool", "function")
+
+    def turn_ok(t):
+        user = (t["role"] == "user") & t["tool_call_id"].isNull() & t["tool_calls"].isNull()
+        assistant = (t["role"] == "assistant") & t["tool_call_id"].isNull() & (t["tool_calls"].isNull() | calls_ok(t))
+        tool = by_tool(t) & filled(t["tool_call_id"]) & t["tool_calls"].isNull()
+        return F.coalesce(filled(t["content"]) & (user | assistant | tool), F.lit(False))
+
+    last = F.element_at(turns, -1)
+    traced = F.exists(turns, lambda t: by_tool(t) | t["tool_calls"].isNotNull())
+    return F.coalesce(F.when(F.size(turns) >= 3, F.forall(turns, turn_ok) & traced & (last["role"] == "assistant") & last["tool_calls"].isNull()), F.lit(False))
+
+
+def payload_json(row_schema: str, context: Column, target: Column, extra: Column | None = None) -> Column:
+    """A row of one of the eight schemas as JSON with sorted keys.
+
+    `extra` is the instruction, the annotator or the rejected answer, where the schema has one; turns and steps are
+    arrays in `target`.
+    """
+    turn = lambda role, content: F.struct(content.alias("content"), F.lit(role).alias("role"))
+    shapes = {
+        "text": lambda: [target.alias("text")],
+        "prompt_completion": lambda: [target.alias("completion"), context.alias("prompt")],
+        "instruction_output": lambda: [context.alias("input"), extra.alias("instruction"), target.alias("output")],
+        "messages": lambda: [F.array(turn("user", context), turn("assistant", target)).alias("messages")],
+        "label-classification": lambda: [extra.alias("annotator"), context.alias("context"), target.alias("label")],
+        "preference-pair": lambda: [target.alias("chosen"), context.alias("prompt"), extra.alias("rejected")],
+        "tool-call-conversation": lambda: [context.alias("conversation_id"), target.alias("turns")],
+        "stepwise-trace": lambda: [context.alias("prompt"), target.alias("steps")],
+    }
+    return F.to_json(F.struct(*shapes[row_schema]()))
+
+
+def assemble_prompt(rows: DataFrame) -> DataFrame:
+    """(instruction, input, output) as (prompt, completion): instruction and input on two lines, or the instruction alone."""
+    rest = [c for c in rows.columns if c not in ("instruction", "input", "output")]
+    prompt = F.when(F.coalesce("input", F.lit("")) == "", F.col("instruction")).otherwise(F.concat_ws("\n", "instruction", "input"))
+    return rows.select(*rest, prompt.alias("prompt"), F.col("output").alias("completion"))
+
+
+def sharegpt(rows: DataFrame) -> DataFrame:
+    """(prompt, completion) as `conversations`: turns of (from, value) by human and gpt."""
+    turn = lambda who, value: F.struct(F.lit(who).alias("from"), F.col(value).alias("value"))
+    return rows.select(*[c for c in rows.columns if c not in ("prompt", "completion")], F.array(turn("human", "prompt"), turn("gpt", "completion")).alias("conversations"))
+
+
+def derived_id(kind: str, payload: Column, version: int = 1) -> Column:
+    """An identity of a JSON text: kind, version, and a digest separated by kind and version."""
+    return F.concat(F.lit(f"{kind}-v{version}-"), F.sha2(F.concat(F.lit(f"corpusmill\0{kind}\0v{version}\0"), payload), 256))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ppm_target
+from ..sources.shared import written
 
 #: Hex digits of the order hash that make a bucket: 65536 buckets, so the running sum over buckets is bounded.
 BUCKET_DIGITS = 4
@@ -31,3 +32,32 @@ def split_groups(records: DataFrame, seed: str = "seed", evaluation_ppm: int = 1
     best = scored.agg(F.min(F.struct(gap.alias("gap"), F.col("running").alias("cut"))).alias("best")).select(F.coalesce("best.cut", F.lit(0)).alias("cut"))
     sides = groups.crossJoin(F.broadcast(best)).select("group_id", F.when(F.col("running") <= F.col("cut"), "evaluation").otherwise("train").alias("partition"))
     return records.select("record_id", "group_id").join(sides, "group_id").select("record_id", "group_id", "partition")
+
+
+def authoritative(records: DataFrame) -> DataFrame:
+    """source, refused, records for records (source, hint): a source whose given partitions differ cannot be kept as given."""
+    return records.groupBy("source").agg((F.min("hint") != F.max("hint")).alias("refused"), F.count(F.lit(1)).alias("records"))
+
+
+def ordinals(assigned: DataFrame) -> DataFrame:
+    """record_id, partition, ordinal: places from 0 in the order of record_id inside each partition.
+
+    A range sort spreads the rows over all tasks; each task numbers its own, and only counts by task meet in a window.
+    """
+    placed = written(assigned.select("record_id", "partition").orderBy("partition", "record_id").withColumn("at", F.monotonically_increasing_id()), "ordinals")
+    placed = placed.withColumn("task", F.shiftright("at", 33))
+    tasks = placed.groupBy("partition", "task").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("partition").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select("partition", "task", (before - F.col("low")).alias("shift"))  # a row for each task of the sort
+    return placed.join(tasks, ["partition", "task"]).select("record_id", "partition", (F.col("at") + F.col("shift")).alias("ordinal"))
+
+
+def hint_mismatches(assigned: DataFrame, hints: DataFrame) -> DataFrame:
+    """record_id, hint, partition where a given partition is not the assigned one."""
+    return assigned.select("record_id", "partition").join(hints.select("record_id", "hint"), "record_id").filter(F.col("hint") != F.col("partition"))
+
+
+def crossing_targets(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """digest of targets that occur in both partitions."""
+    rows = assigned.select("record_id", "partition").join(targets.select("record_id", F.sha2("target", 256).alias("digest")), "record_id")
+    return rows.groupBy("digest").agg(F.min("partition").alias("a"), F.max("partition").alias("b")).filter("a <> b").select("digest")

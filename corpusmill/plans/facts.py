@@ -1 +1,120 @@
-"""Queries on facts."""
+"""Queries on quality facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import token_estimate
+from ..operators import curation, facts, splitting
+from ..operators.reports import DETECTORS
+from ..sources.shared import written
+from ..sources.tables import read_table
+from .queries import _CURATED, _SPLIT, _records
+from .registry import query
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their curation and split decisions, written once for the facts to share."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "source", "lang", F.substring("text", F.lit(41), F.length("text")).alias("target"), F.sha2("text", 256).alias("group_id"))
+    decided = curation.curate(_records(spark, sf_dir)).select("record_id", "status", "reason")
+    sides = splitting.split_groups(docs).select("record_id", "partition")
+    return written(docs.drop("group_id").join(decided, "record_id").join(sides, "record_id"), "judged")
+
+
+_JUDGED = (
+    _CURATED
+    + ", "
+    + _SPLIT.removeprefix("WITH ").replace("r AS (SELECT doc_id AS record_id, source, sha256(text)", "sr AS (SELECT doc_id AS record_id, source, sha256(text)").replace("FROM r GROUP", "FROM sr GROUP").replace("FROM r JOIN w", "FROM sr JOIN w").rstrip()
+    + """,
+judged AS (SELECT record_id, documents.source, lang, substr(text, 41) AS target, status, reason, partition FROM documents
+  JOIN decided ON doc_id = record_id JOIN (SELECT record_id, partition FROM assigned) USING (record_id)),
+inside AS (SELECT * FROM judged WHERE status = 'included'),
+facts(name, key, value) AS (
+"""
+)
+_DISTRIBUTIONS = " UNION ALL ".join(
+    [f"SELECT '{s}-records', '', count(*) FROM judged WHERE status = '{s}'" for s in ("included", "excluded", "quarantined")]
+    + ["SELECT 'empty-targets', '', count(*) FROM inside WHERE target = ''"]
+    + [f"SELECT '{c}-distribution', {c}, count(*) FROM inside WHERE {c} IS NOT NULL GROUP BY 2" for c in ("source", "lang", "partition")]
+    + ["SELECT 'reason-distribution', reason, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY 2"]
+    + ["SELECT 'target-length-distribution', length(target)::VARCHAR, count(*) FROM inside GROUP BY 2"]
+)
+_HITS = " UNION ALL ".join(
+    "SELECT 'detector-hits', '{}', count(*) FROM inside WHERE {}".format(f, " OR ".join(f"regexp_matches(target, '{p}')" for g, _, p in DETECTORS if g == f)) for f in dict.fromkeys(g for g, _, _ in DETECTORS)
+)
+_CROSSING = "SELECT 'crossing-targets', '', count(*) FROM (SELECT 1 FROM inside GROUP BY target HAVING count(DISTINCT partition) > 1)"
+_TOKENS = """SELECT 'token-distribution', greatest(1, ceil(length(target) / 4.0))::BIGINT::VARCHAR, count(*) FROM inside GROUP BY 2
+  UNION ALL SELECT 'truncated-records', '', count(*) FROM inside WHERE ceil(length(target) / 4.0) > 512"""
+_FACTS = _JUDGED + " UNION ALL ".join([_DISTRIBUTIONS, _HITS, _CROSSING, _TOKENS]) + ")\n"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir)
+    out = facts.distribution_facts(rows).unionByName(facts.detector_facts(rows)).unionByName(facts.crossing_facts(rows))
+    return out.unionByName(facts.token_facts(rows, token_estimate(F.col("target")), 512))
+
+
+@query(_FACTS + "SELECT name, key, value::BIGINT AS value FROM facts")
+def quality_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir)
+
+
+_GATE_ROWS = ", ".join(f"('{g}', '{n}', '{k}', {t})" for g, (n, k, t) in facts.GATES.items())
+
+
+@query(
+    _FACTS
+    + f"""SELECT gate, coalesce(sum(value), 0)::BIGINT AS observed, coalesce(sum(value), 0) >= least_value AS reached
+FROM (VALUES {_GATE_ROWS}) v(gate, n, k, least_value) LEFT JOIN facts ON name = n AND key = k GROUP BY gate, least_value"""
+)
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.gates(_facts(spark, sf_dir))
+
+
+@query(
+    _CURATED
+    + """SELECT count(*) AS records, count(*) FILTER (status = 'included') AS included, count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status = 'quarantined') AS quarantined,
+  min(n) AS least, max(n) AS most, sum(n)::BIGINT AS characters FROM (
+  SELECT status, CASE WHEN status = 'included' THEN length(t) END AS n FROM decided JOIN r USING (record_id))"""
+)
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir)
+    return facts.statistics(curation.curate(rows).select("record_id", "status").join(rows.select("record_id", "target"), "record_id"))
+
+
+@query(_CURATED + "SELECT 'conflict' AS queue, record_id AS subject, false AS required FROM decided WHERE reason = 'conflict'")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.review_queue(curation.curate(_records(spark, sf_dir)))
+
+
+@query(
+    """SELECT name, '' AS key, value::BIGINT AS value FROM (
+  SELECT unnest(['missing-labels', 'singleton-label-set', 'tool-role-gaps', 'unpaired-feedback']) AS name,
+    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT, 0, 0]) AS value FROM labels
+  UNION ALL SELECT 'ranking-ties', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY source, quality))"""
+)
+def family_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("item"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("label"))
+    none = {c: F.lit(None).cast("string") for c in ("tool_name", "tool_role", "feedback")}
+    return facts.family_facts(labels.join(docs, "doc_id", "left").withColumn("rank", F.col("label")).withColumns(none).withColumn("paired", F.lit(False)))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT item_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t FROM benchmark),
+s AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM n) WHERE t <> ''),
+z AS (SELECT item_id, count(*) AS size FROM s GROUP BY 1),
+p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.item_id <> y.item_id GROUP BY 1, 2),
+e AS (SELECT a, b, c * 1000000 // (u.size + v.size - c) AS ppm FROM p JOIN z u ON u.item_id = a JOIN z v ON v.item_id = b
+  UNION ALL SELECT x.item_id, y.item_id, 1000000 FROM n x JOIN n y ON x.t = y.t AND x.item_id <> y.item_id AND x.t = ''),
+k AS (SELECT unnest([50000, 200000]) AS ppm),
+r AS (SELECT DISTINCT k.ppm, item_id AS node, item_id AS label FROM n, k UNION SELECT r.ppm, e.b, r.label FROM r JOIN e ON e.a = r.node AND e.ppm >= r.ppm),
+m AS (SELECT ppm, label, count(*) AS members FROM (SELECT ppm, node, min(label) AS label FROM r GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT name, ppm::VARCHAR AS key, value FROM (
+  SELECT 'near-duplicate-clusters' AS name, k.ppm, count(label) AS value FROM k LEFT JOIN m ON m.ppm = k.ppm AND members > 1 GROUP BY 2
+  UNION ALL SELECT 'near-duplicate-members', k.ppm, coalesce(sum(members), 0)::BIGINT FROM k LEFT JOIN m ON m.ppm = k.ppm AND members > 1 GROUP BY 2)"""
+)
+def near_duplicate_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of benchmark items; the items differ much, so the thresholds are low."""
+    return facts.near_duplicate_preview(read_table(spark, sf_dir, "benchmark"), "item_id", "text", (50_000, 200_000))

@@ -1 +1,106 @@
 """Queries on mapped rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import mapping, splitting
+from ..sources.tables import read_table
+from .registry import ORACLE_SQL, digest, query
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(json_extract(props, '$.k')) IN ('VARCHAR') AS is_text FROM events")
+def json_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events")
+    return events.select("event_id", mapping.resolve(F.col("props"), "/k").alias("k"), (mapping.kind_at(F.col("props"), "/k") == "STRING").alias("is_text"))
+
+
+_EXCHANGES = ORACLE_SQL["alpaca_rows"].replace("sha256(x.text) AS instruction_sha256, '' AS input, sha256(y.text) AS output_sha256", "x.text AS prompt, y.text AS completion")
+
+
+def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.first_exchanges(read_table(spark, sf_dir, "conversations"))
+
+
+@query(
+    """WITH d AS (SELECT role AS prompt, text AS completion, turn AS extra FROM conversations)
+SELECT reason_code, count(*) AS n FROM (
+  SELECT CASE WHEN extra > 3 THEN 'unmapped-keys' WHEN prompt = 'system' THEN 'missing-source-path' WHEN extra = 2 THEN 'non-string-value' WHEN completion = '' THEN 'empty-required-string' END AS reason_code FROM d)
+GROUP BY 1"""
+)
+def row_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as rows, spoilt in four ways: a late turn has a key too many, a system turn no prompt, a second turn a number as completion."""
+    turn = F.col("turn")
+    fields = F.struct(
+        F.when(F.col("role") != "system", F.col("role")).alias("prompt"),
+        F.when(turn != 2, F.col("text")).alias("completion"),
+        F.when(turn > 3, turn).alias("other"),
+    )
+    spoilt = F.when(turn == 2, F.regexp_replace(F.to_json(fields), r"\}$", ',"completion":2}')).otherwise(F.to_json(fields))
+    rows = read_table(spark, sf_dir, "conversations").select(spoilt.alias("payload"))
+    return mapping.rejections(rows, "payload", {"prompt": "prompt", "completion": "completion"})
+
+
+@query(
+    "SELECT unnest(["
+    + ", ".join(f"'{d}'" for d in mapping.DETECTORS)
+    + "]) AS detector, unnest(["
+    + ", ".join("true" if paths in (("text",),) else "false" for paths in mapping.DETECTORS.values())
+    + "]) AND (SELECT bool_and(text IS NOT NULL) FROM documents) AS proposed"
+)
+def detected_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select(F.to_json(F.struct("text", "lang")).alias("payload"))
+    return mapping.detect(rows, "payload")
+
+
+@query(f"SELECT conv_id, sha256(to_json({{'conversations': [{{'from': 'human', 'value': prompt}}, {{'from': 'gpt', 'value': completion}}]}})) AS row_sha256 FROM ({_EXCHANGES})")
+def sharegpt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.sharegpt(_exchanges(spark, sf_dir))
+    return digest(rows.select("conv_id", F.to_json(F.struct("conversations")).alias("row")), "row")
+
+
+@query(f"SELECT conv_id, sha256('answer briefly' || chr(10) || prompt) AS prompt_sha256, sha256(completion) AS completion_sha256 FROM ({_EXCHANGES})")
+def assembled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _exchanges(spark, sf_dir).select("conv_id", F.lit("answer briefly").alias("instruction"), F.col("prompt").alias("input"), F.col("completion").alias("output"))
+    return digest(mapping.assemble_prompt(rows), "prompt", "completion")
+
+
+@query(
+    f"""SELECT conv_id, sha256(to_json({{'completion': completion, 'prompt': prompt}})) AS prompt_completion_sha256,
+  sha256(to_json({{'messages': [{{'content': prompt, 'role': 'user'}}, {{'content': completion, 'role': 'assistant'}}]}})) AS messages_sha256,
+  sha256(to_json({{'input': prompt, 'instruction': 'answer', 'output': completion}})) AS instruction_output_sha256 FROM ({_EXCHANGES})"""
+)
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt, completion = F.col("prompt"), F.col("completion")
+    shapes = {"prompt_completion": None, "messages": None, "instruction_output": F.lit("answer")}
+    rows = _exchanges(spark, sf_dir).select("conv_id", *[mapping.payload_json(s, prompt, completion, e).alias(s) for s, e in shapes.items()])
+    return digest(rows, *shapes)
+
+
+@query("SELECT doc_id, sha256(to_json({'annotator': 'quality', 'context': text, 'label': quality::VARCHAR})) AS row_sha256 FROM documents JOIN labels USING (doc_id) WHERE text <> '' AND quality IS NOT NULL")
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text")
+    rows = docs.join(read_table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality"), "doc_id")
+    return digest(rows.select("doc_id", mapping.payload_json("label-classification", F.col("text"), F.col("quality").cast("string"), F.lit("quality")).alias("row")), "row")
+
+
+@query("SELECT doc_id, 'rec-v1-' || sha256('corpusmill' || chr(0) || 'rec' || chr(0) || 'v1' || chr(0) || to_json({'text': text})) AS record_id FROM documents WHERE text IS NOT NULL")
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", mapping.derived_id("rec", mapping.payload_json("text", F.lit(""), F.col("text"))).alias("record_id"))
+
+
+_HINTED = "SELECT doc_id AS record_id, source, CASE WHEN lang = 'en' THEN 'evaluation' ELSE 'train' END AS hint FROM documents"
+
+
+@query(f"SELECT source, count(DISTINCT hint) > 1 AS refused, count(*) AS records FROM ({_HINTED}) GROUP BY 1")
+def authoritative_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hint = F.when(F.col("lang") == "en", "evaluation").otherwise("train")
+    return splitting.authoritative(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "source", hint.alias("hint")))
+
+
+@query(f"SELECT record_id, partition, row_number() OVER (PARTITION BY partition ORDER BY record_id) - 1 AS ordinal FROM ({ORACLE_SQL['split_documents']})")
+def partition_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.sha2("text", 256).alias("group_id"))
+    return splitting.ordinals(splitting.split_groups(docs).select("record_id", "partition"))

@@ -177,3 +177,47 @@ def test_own_rules_and_repeated_lines(spark):
     docs = rows(spark, [(1, "Head\nx1\n head\nHead\nHead "), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in cleaning.drop_repeated_lines(docs).collect()} == {1: "x1\n head", 2: None}
     assert docs.select(cleaning.custom(r"(x)(\d)", r"\2$\1")(F.col("text")).alias("t")).first().t == "Head\n1$x\n head\nHead\nHead "
+
+
+def test_tool_traces_and_steps(spark):
+    from corpusmill.operators.mapping import messages_ok, steps_ok, tool_turns_ok
+
+    call = [("c1", "f", "{}")]
+    good = [("user", "q", None, None), ("assistant", "a", None, call), ("tool", "r", "c1", None), ("assistant", "end", None, None)]
+    cases = {
+        1: good,
+        2: good[:3],
+        3: [good[0], ("assistant", "a", None, None), good[3]],
+        4: [good[0], ("assistant", "a", None, [("c1", "", "{}")]), *good[2:]],
+        5: [("user", "q", "id", None), *good[1:]],
+        6: None,
+        7: [good[0], good[1], ("tool", "r", None, None), good[3]],
+    }
+    turns = "array<struct<role string, content string, tool_call_id string, tool_calls array<struct<id string, name string, arguments string>>>>"
+    got = rows(spark, list(cases.items()), f"id long, t {turns}").select("id", tool_turns_ok(F.col("t")).alias("ok")).collect()
+    assert {r.id for r in got if r.ok} == {1}
+    got = rows(spark, [(["a", "b"],), (["a"],), (["a", ""],), (None,)], "s array<string>").select(steps_ok(F.col("s")).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, False, False, False]
+    pair = [("user", "x"), ("assistant", "y")]
+    got = rows(spark, [(pair,), (pair[::-1],), (pair[:1],), ([("user", ""), pair[1]],), (None,)], "m array<struct<role string, content string>>")
+    assert [r.ok for r in got.select(messages_ok(F.col("m")).alias("ok")).collect()] == [True, False, False, False, False]
+
+
+def test_rows_are_refused_for_the_first_reason(spark):
+    from corpusmill.operators.mapping import reject_code
+
+    cases = ['{"a":"x","b":"y"}', '{"a":"x","b":"y","c":1}', '{"a":"x"}', '{"a":"x","b":null}', '{"a":3,"b":"y"}', '{"a":"","b":"y"}', "[1]", "no json", None]
+    got = rows(spark, [(c,) for c in cases], "p string").select(reject_code(F.col("p"), {"f": "a", "g": "/b"}).alias("r")).collect()
+    assert [r.r for r in got] == [None, "unmapped-keys", "missing-source-path", "non-string-value", "non-string-value", "empty-required-string", *["missing-source-path"] * 3]
+    kept = rows(spark, [('{"a":"x","partition":"train"}',), ('{"a":"x"}',), ('{"a":"x","partition":"dev"}',)], "p string").select(reject_code(F.col("p"), {"f": "a"}, "kept").alias("r")).collect()
+    assert [r.r for r in kept] == [None, "invalid-partition", "invalid-partition"]
+
+
+def test_payloads_have_sorted_keys(spark):
+    from corpusmill.operators.mapping import payload_json
+
+    got = rows(spark, [("c", "t", "e", ["s", "u"])], "c string, t string, e string, s array<string>").select(
+        *[payload_json(k, F.col("c"), F.col("s" if k == "stepwise-trace" else "t"), F.col("e")).alias(k.replace("-", "_")) for k in ("preference-pair", "stepwise-trace", "messages")]
+    ).first()
+    assert got.preference_pair == '{"chosen":"t","prompt":"c","rejected":"e"}' and got.stepwise_trace == '{"prompt":"c","steps":["s","u"]}'
+    assert got.messages == '{"messages":[{"content":"c","role":"user"},{"content":"t","role":"assistant"}]}'
