@@ -109,3 +109,67 @@ def test_folders_of_files(spark, tmp_path):
     got = {(r.path.rsplit("/", 1)[-1], r.block, r.kind, r.text, r.error) for r in blocks.collect()}
     assert got == {("a.md", 0, "heading", "A", None), ("a.md", 1, "paragraph", "b", None), ("b.txt", 0, "paragraph", "x", None), ("b.txt", 1, "paragraph", "y", None), ("c.py", 0, "code", "z = 1\n", None), ("e.json", None, None, None, "not-json")}
     assert {(r.path[-6:], r.status) for r in diagnostics(blocks).collect()} >= {("e.json", "refused")}
+
+
+def test_row_containers_hold_the_same_rows(spark, tmp_path):
+    import pyarrow as pa
+
+    from corpusmill.sources import row_sources, sinks
+
+    data = [("a", 'x "q", é'), ("b", "y\nz")]
+    frame = spark.createDataFrame(data, "k string, v string")
+    want = {'{"k":"a","v":"x \\"q\\", é"}', '{"k":"b","v":"y\\nz"}'}
+    frame.write.parquet(str(tmp_path / "p"))
+    frame.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(str(tmp_path / "c"))
+    frame.write.json(str(tmp_path / "l"))
+    sinks.write_arrow(frame, str(tmp_path / "a"))
+    (tmp_path / "j.json").write_text('{"rows": [{"k":"a","v":"x \\"q\\", é"}, {"k":"b","v":"y\\nz"}]}')
+    for form, place in {"parquet": "p", "csv": "c", "jsonl": "l", "arrow": "a", "json": "j.json"}.items():
+        rows = row_sources.read_rows(spark, str(tmp_path / place), form)
+        assert {r.payload for r in row_sources.accepted(rows).collect()} == want, form
+    with pytest.raises(FileExistsError):
+        sinks.write_arrow(frame, str(tmp_path / "a"))
+    assert pa.ipc.open_file(next((tmp_path / "a").glob("*.arrow"))).schema.names == ["k", "v"]
+
+
+def test_lines_are_numbered_and_one_bad_line_refuses_a_file(spark, tmp_path):
+    from corpusmill.sources import row_sources
+
+    (tmp_path / "a.jsonl").write_bytes(b'{"a": 1}\r\n\n{"a": 2}\n')
+    (tmp_path / "b.jsonl").write_bytes(b'{"a": 3}\n[4]\nno\n')
+    rows = row_sources.read_jsonl(spark, str(tmp_path)).collect()
+    assert sorted((r.path[-7:], r.row_index, r.payload, r.error) for r in rows) == [("a.jsonl", 1, '{"a": 1}', None), ("a.jsonl", 3, '{"a": 2}', None), ("b.jsonl", 1, '{"a": 3}', None), ("b.jsonl", 2, "[4]", "not-an-object"), ("b.jsonl", 3, "no", "not-json")]
+    assert {r.payload for r in row_sources.accepted(row_sources.read_jsonl(spark, str(tmp_path))).collect()} == {'{"a": 1}', '{"a": 2}'}
+    big = tmp_path / "big.jsonl"
+    big.write_text("".join(f'{{"a": {i}}}\n' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = row_sources.numbered_lines(spark, str(big)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.line == f'{{"a": {r.row_index - 1}}}' for r in got) and len(got) == 5000
+
+
+def test_bundles_and_profiles(spark, tmp_path):
+    from corpusmill.sources import sinks
+
+    data = [("train", i, f"r{i}", f'{{"text":"t{i % 3}"}}') for i in range(5)] + [("evaluation", 0, "r9", '{"text":"é"}')]
+    rows = spark.createDataFrame(data, "partition string, ordinal long, record_id string, payload string")
+    path = str(tmp_path / "bundle")
+    sinks.write_bundle(rows, path)
+    assert {(r.partition, r.rows, r.intact) for r in sinks.verify_bundle(spark, path).collect()} == {("train", 5, True), ("evaluation", 1, True)}
+    swapped = rows.withColumn("ordinal", 4 - rows.ordinal).filter("partition = 'train'")
+    assert sinks.fingerprint(swapped).first().fingerprint != sinks.fingerprint(rows.filter("partition = 'train'")).first().fingerprint
+    victim = next((tmp_path / "bundle" / "rows" / "partition=evaluation").glob("part-*"))
+    victim.write_text('{"text":"e"}\n')
+    for crc in victim.parent.glob(".*.crc"):
+        crc.unlink()
+    assert {(r.partition, r.intact) for r in sinks.verify_bundle(spark, path).collect()} == {("train", True), ("evaluation", False)}
+    pairs = spark.createDataFrame([("train", "p", "c"), ("evaluation", "q", "d")], "partition string, prompt string, completion string")
+    for profile in sinks.PROFILES:
+        sinks.write_profile(pairs, str(tmp_path / profile), profile)
+    assert spark.read.json(str(tmp_path / "llama-factory" / "train")).first().conversations[1].value == "c"
+    assert spark.read.json(str(tmp_path / "mlx" / "valid")).first().prompt == "q"
+    sinks.zip_folder(path, str(tmp_path / "one.zip"))
+    sinks.zip_folder(path, str(tmp_path / "two.zip"))
+    assert (tmp_path / "one.zip").read_bytes() == (tmp_path / "two.zip").read_bytes()
