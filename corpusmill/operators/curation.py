@@ -38,3 +38,18 @@ def coverage(decisions: DataFrame) -> DataFrame:
     count = lambda s: F.sum((F.col("status") == s).cast("long")).alias(s)
     out = decisions.groupBy("source").agg(F.count(F.lit(1)).alias("records"), count("included"), count("excluded"), count("quarantined"))
     return out.withColumn("blocker", F.when(F.col("included") == 0, "no-included-record"))
+
+
+def first_by_source(rows: DataFrame, source: str = "source", key: str = "record_id") -> DataFrame:
+    """The row of the smallest key of each source, a partial minimum rather than a sort."""
+    rest = [c for c in rows.columns if c not in (source, key)]
+    least = rows.groupBy(source).agg(F.min(F.struct(key, *rest)).alias("r"))
+    return least.select(source, "r.*")
+
+
+def promote(candidates: DataFrame, reviews: DataFrame, required: bool) -> DataFrame:
+    """record_id, status: accepted without review; where review is required, the verdict of the latest review, else pending."""
+    if not required:
+        return candidates.select("record_id", F.lit("accepted").alias("status"))
+    latest = reviews.groupBy("record_id").agg(F.max(F.struct("sequence", "verdict"))["verdict"].alias("verdict"))
+    return candidates.select("record_id").join(latest, "record_id", "left").select("record_id", F.coalesce("verdict", F.lit("pending")).alias("status"))

@@ -27,3 +27,15 @@ def leakage_groups(tokens: DataFrame, rounds: int = 100) -> DataFrame:
         if not moved.filter("old <> label").limit(1).count():
             break
     return labels.select("record_id", F.col("label").alias("group_id"))
+
+
+def keyed_groups(rows: DataFrame, id_col: str, keys: tuple[str, ...]) -> DataFrame:
+    """record_id, group_id: rows with an equal value in any of the key columns belong together; null keys bind nothing.
+
+    A row whose keys are all null is a group of its own.
+    """
+    own = rows.select(F.col(id_col).alias("record_id"), F.concat(F.lit("own:"), F.col(id_col).cast("string")).alias("token"))
+    tokens = [rows.select(F.col(id_col).alias("record_id"), F.concat(F.lit(f"{k}:"), F.sha2(F.col(k).cast("string"), 256)).alias("token")) for k in keys]
+    for token in tokens:
+        own = own.unionByName(token)
+    return leakage_groups(own)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mapping, splitting
+from ..operators import curation, graph, mapping, splitting
+from ..sources import generator, sinks
 from ..sources.tables import read_table
 from .registry import ORACLE_SQL, digest, query
 
@@ -104,3 +105,48 @@ def authoritative_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.sha2("text", 256).alias("group_id"))
     return splitting.ordinals(splitting.split_groups(docs).select("record_id", "partition"))
+
+
+@query(
+    f"""WITH o AS ({ORACLE_SQL['partition_ordinals']}),
+p AS (SELECT partition, ordinal, ordinal // 65536 AS g, sha256(to_json({{'text': text}})) AS d FROM o JOIN documents ON doc_id = record_id),
+i AS (SELECT partition, g, sha256(string_agg(d, '' ORDER BY ordinal)) AS d, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT partition, sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY g)) AS fingerprint FROM i GROUP BY 1"""
+)
+def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), mapping.payload_json("text", F.lit(""), F.col("text")).alias("payload"))
+    return sinks.fingerprint(partition_ordinals(spark, sf_dir).join(texts, "record_id"))
+
+
+@query(
+    """WITH RECURSIVE u AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_turn FROM conversations GROUP BY 1),
+k AS (SELECT u.conv_id AS record_id, text AS prompt FROM u LEFT JOIN conversations c ON c.conv_id = u.conv_id AND turn = first_turn),
+r AS (SELECT record_id AS node, record_id AS label FROM k UNION SELECT b.record_id, label FROM r JOIN k a ON a.record_id = node JOIN k b ON a.prompt = b.prompt)
+SELECT node AS record_id, min(label) AS group_id FROM r GROUP BY 1"""
+)
+def shared_prompt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    prompt = F.min(F.when(F.col("role") == "user", F.struct("turn", "text")))["text"].alias("prompt")
+    return graph.keyed_groups(turns.groupBy("conv_id").agg(prompt), "conv_id", ("prompt",))
+
+
+@query("SELECT source, min(doc_id) AS record_id, sha256(arg_min(text, doc_id)) AS text_sha256 FROM documents GROUP BY 1")
+def preview_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("record_id"), "text")
+    return digest(curation.first_by_source(docs), "text")
+
+
+@query(f"SELECT h.record_id, h.hint, a.partition FROM ({_HINTED}) h JOIN ({ORACLE_SQL['split_documents']}) a USING (record_id) WHERE hint <> partition")
+def hint_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    assigned = splitting.split_groups(docs.select(F.col("doc_id").alias("record_id"), F.sha2("text", 256).alias("group_id")))
+    hint = F.when(F.col("lang") == "en", "evaluation").otherwise("train")
+    return splitting.hint_mismatches(assigned, docs.select(F.col("doc_id").alias("record_id"), hint.alias("hint")))
+
+
+@query(
+    """SELECT i AS record_id, sha256(substr(string_agg(sha256('seed-' || CASE WHEN i >= 950 THEN 0 ELSE i END || '-' || k), '' ORDER BY k), 1, 300)) AS text_sha256
+FROM range(1000) a(i), range(5) b(k) GROUP BY 1"""
+)
+def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(generator.generate(spark, 1000, 300, 50_000), "text")

@@ -221,3 +221,45 @@ def test_payloads_have_sorted_keys(spark):
     ).first()
     assert got.preference_pair == '{"chosen":"t","prompt":"c","rejected":"e"}' and got.stepwise_trace == '{"prompt":"c","steps":["s","u"]}'
     assert got.messages == '{"messages":[{"content":"c","role":"user"},{"content":"t","role":"assistant"}]}'
+
+
+def test_a_token_that_all_share_leaves_no_evaluation(spark):
+    from corpusmill.operators.graph import keyed_groups
+
+    data = [(i, "one source", None) for i in range(6)]
+    groups = keyed_groups(rows(spark, data, "id long, source string, annotator string"), "id", ("source", "annotator"))
+    assert {r.partition for r in splitting.split_groups(groups).collect()} == {"train"}
+    alone = keyed_groups(rows(spark, data, "id long, source string, annotator string"), "id", ("annotator",))
+    assert {r.record_id: r.group_id for r in alone.collect()} == {i: i for i in range(6)}
+
+
+def test_reviews_decide_in_their_order(spark):
+    candidates = rows(spark, [(1,), (2,), (3,)], "record_id long")
+    reviews = rows(spark, [(1, 1, "accepted"), (1, 2, "rejected"), (2, 1, "accepted")], "record_id long, sequence long, verdict string")
+    assert {r.record_id: r.status for r in curation.promote(candidates, reviews, True).collect()} == {1: "rejected", 2: "accepted", 3: "pending"}
+    assert {r.status for r in curation.promote(candidates, reviews, False).collect()} == {"accepted"}
+
+
+def test_facts_of_empty_tables_are_zero(spark):
+    from corpusmill.operators import facts
+
+    none = rows(spark, [], "record_id long, source string, lang string, target string, status string, reason string, partition string")
+    out = facts.distribution_facts(none).unionByName(facts.detector_facts(none)).unionByName(facts.crossing_facts(none))
+    assert all(r.value == 0 for r in out.collect())
+    assert not any(r.reached for r in facts.gates(out).collect())
+
+
+def test_family_facts_count_ties_gaps_and_lone_feedback(spark):
+    from corpusmill.operators import facts
+
+    columns = "label string, item string, rank string, tool_name string, tool_role string, feedback string, paired boolean"
+    data = [("a", "i", "1", "t", None, "f", False), ("a", "i", "1", "t", "r", "f", True), ("", "i", "2", None, None, None, None), (None, None, "1", "", None, None, None)]
+    got = {r.name: r.value for r in facts.family_facts(rows(spark, data, columns)).collect()}
+    assert got == {"missing-labels": 1, "singleton-label-set": 1, "tool-role-gaps": 1, "unpaired-feedback": 1, "ranking-ties": 1}
+
+
+def test_recognised_pages_are_judged_by_confidence(spark):
+    from corpusmill.operators.facts import ocr_action
+
+    got = rows(spark, [(None, None), (90.0, 29.0), (59.0, 40.0), (79.0, 40.0), (80.0, 30.0)], "mean double, least double").select(ocr_action(F.col("mean"), F.col("least")).alias("a")).collect()
+    assert [r.a for r in got] == ["review", "refuse", "review", "warn", "accept"]
