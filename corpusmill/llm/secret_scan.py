@@ -25,10 +25,16 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A
 WINDOW = 20
 #: Least entropy in bits of a window, by character class of the candidate.
 HEX_BITS, BASE64_BITS = 3.0, 3.8
+#: A word in one case, capitalised or in camel case; and what may end an identifier: a word with few digits, or digits.
+#: Keys like ghp_16C7e42F... have such a first word, so the rest decides.
+_WORD = r"(?-i:[A-Z]?[a-z]{1,16}(?:[A-Z][a-z]{2,15}){0,3}|[A-Z]{1,16})"
+_END = rf"(?:{_WORD}[0-9]{{0,4}}|[0-9]+)"
+#: Candidates of the hexadecimal class: hexadecimal digits, also behind such words.
+_HEX_CLASS = rf"^(?:{_WORD}[/_-])*+[0-9A-Fa-f]{{20,}}$"
 #: Candidates that are no secrets: identifiers, examples, counting or repeated characters.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|example|placeholder|changeme|dummy|sample|redacted"
-    r"|0123456789|1234567890|abcdefgh|(.)\1{5}|^[a-z]+[-_][a-z]+(?:[-_][a-z0-9]+)*+$|^(?:[a-z]+[/_-])++[a-z0-9]*$"
+    rf"|0123456789|1234567890|abcdefgh|(.)\1{{5}}|^{_WORD}[-_]{_WORD}(?:[-_]{_END})*+$|^(?:{_WORD}[/_-])++{_END}?$"
 )
 
 
@@ -114,7 +120,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans(text, F.col("h_entropy"), CANDIDATE, "entropy", 3),
         lambda s: ~s["value"].rlike(ALLOW) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
     )
-    bits = lambda v: F.when(v.rlike("^[0-9A-Fa-f]+$"), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
+    bits = lambda v: F.when(v.rlike(_HEX_CLASS), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
     ranged = F.transform(candidates, lambda s: F.struct(s.alias("s"), entropy_range(s["value"], bits(s["value"])).alias("r")))
     high = F.transform(
         F.filter(ranged, lambda x: x["r"]["first"] >= 0),
