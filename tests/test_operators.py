@@ -83,6 +83,27 @@ def test_groups_are_transitive(spark):
     assert got == {**dict.fromkeys(range(30), 0), 99: 99}
 
 
+def test_a_long_chain_in_any_order_is_one_group(spark):
+    import random
+
+    from corpusmill.operators.graph import leakage_groups
+
+    ids = random.Random(3).sample(range(1, 1001), 1000)
+    chain = [(ids[i], f"t{i + d}") for i in range(1000) for d in (0, 1)] + [(2000, "own")]
+    got = {r.record_id: r.group_id for r in leakage_groups(rows(spark, chain, "record_id long, token string")).collect()}
+    assert got == {i: 1 for i in ids} | {2000: 2000}
+
+
+def test_edges_that_still_move_are_an_error(spark):
+    import pytest
+
+    from corpusmill.operators.graph import leakage_groups
+
+    chain = [(7 * i % 101, f"t{i + d}") for i in range(100) for d in (0, 1)]
+    with pytest.raises(RuntimeError):
+        leakage_groups(rows(spark, chain, "record_id long, token string"), 1)
+
+
 def test_mapping_rejects_the_first_bad_field(spark):
     from corpusmill.operators.mapping import map_rows
 
