@@ -17,8 +17,8 @@ def normalized(text: Column) -> Column:
 
 
 def char_shingles(text: Column, n: int = 5) -> Column:
-    """Distinct runs of n characters; a shorter text is one, an empty one none."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    """Distinct runs of n characters; a shorter text is one, an empty one none. One pass: `text` is not evaluated for each run."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(grams))
 
 

@@ -107,14 +107,19 @@ def near_duplicate_preview(rows: DataFrame, id_col: str, text_col: str, threshol
     classes = written(classes, "classes")
     first = base.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     pairs = written(similar_pairs(first, "id", "text", min(thresholds)), "pairs")
-    out = []
+    # one run for all thresholds: a record is (threshold, id), and so is the smallest of its group
+    levels = F.explode(F.array(*[F.lit(ppm) for ppm in thresholds])).alias("ppm")
+    near = pairs.select("*", levels).filter(F.col("similarity_ppm") >= F.col("ppm"))
+    token = F.concat_ws("-", "ppm", "a", "b").alias("token")
+    tokens = near.select(F.struct("ppm", F.col("a").alias("id")).alias("record_id"), token).unionByName(near.select(F.struct("ppm", F.col("b").alias("id")).alias("record_id"), token))
+    own = classes.select("*", levels).select(F.struct("ppm", F.col("rep").alias("id")).alias("record_id"), "copies", F.concat(F.lit("class-"), "ppm", F.lit("-"), "d").alias("token"))
+    groups = leakage_groups(tokens.unionByName(own.select("record_id", "token"))).join(own.select("record_id", "copies"), "record_id")
+    groups = groups.groupBy("group_id").agg(F.sum("copies").alias("members")).filter("members > 1")
+    values = {}
     for ppm in thresholds:
-        near = pairs.filter(F.col("similarity_ppm") >= ppm).withColumn("token", F.concat_ws("-", "a", "b"))
-        tokens = near.select(F.col("a").alias("record_id"), "token").unionByName(near.select(F.col("b").alias("record_id"), "token"))
-        tokens = tokens.unionByName(classes.select(F.col("rep").alias("record_id"), F.concat(F.lit("class-"), "d").alias("token")))
-        groups = leakage_groups(tokens).join(classes.withColumnRenamed("rep", "record_id"), "record_id").groupBy("group_id").agg(F.sum("copies").alias("members")).filter("members > 1")
-        out.append(_long(groups, {("near-duplicate-clusters", str(ppm)): F.count(F.lit(1)), ("near-duplicate-members", str(ppm)): F.sum("members")}))
-    return reduce(DataFrame.unionByName, out)
+        at = F.col("group_id.ppm") == ppm
+        values |= {("near-duplicate-clusters", str(ppm)): F.sum(at.cast("long")), ("near-duplicate-members", str(ppm)): F.sum(F.when(at, F.col("members")))}
+    return _long(groups, values)
 
 
 def gates(facts: DataFrame, gate_values: dict[str, tuple[str, str, int]] = GATES) -> DataFrame:

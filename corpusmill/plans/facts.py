@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..operators import curation, facts, splitting
+from ..operators import curation, facts, similarity, splitting
 from ..operators.reports import DETECTORS
 from ..sources.shared import written
 from ..sources.tables import read_table
@@ -118,3 +118,34 @@ SELECT name, ppm::VARCHAR AS key, value FROM (
 def near_duplicate_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of benchmark items; the items differ much, so the thresholds are low."""
     return facts.near_duplicate_preview(read_table(spark, sf_dir, "benchmark"), "item_id", "text", (50_000, 200_000))
+
+
+#: Pairs of included targets and clusters of them at each threshold; white space as in `normalized`.
+_NEAR = f"""nt AS (SELECT record_id AS id, lower(trim(regexp_replace(coalesce(target, ''), '[\\s\\v\\x85\\pZ]+', ' ', 'g'))) AS t FROM inside),
+ns AS (SELECT DISTINCT id, substr(t, i, 5) AS g FROM (SELECT id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM nt) WHERE t <> ''),
+nz AS (SELECT id, count(*) AS size FROM ns GROUP BY 1),
+np AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM ns x JOIN ns y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+nq AS (SELECT a, b, c * 1000000 // (u.size + v.size - c) AS ppm FROM np JOIN nz u ON u.id = a JOIN nz v ON v.id = b),
+ne AS (SELECT a, b, ppm FROM nq UNION ALL SELECT b, a, ppm FROM nq UNION ALL SELECT x.id, y.id, 1000000 FROM nt x JOIN nt y ON x.t = y.t AND x.id <> y.id AND x.t = ''),
+nk AS (SELECT unnest({list(facts.PREVIEW_PPM)}) AS ppm),
+nr AS (SELECT DISTINCT nk.ppm, id AS node, id AS label FROM nt, nk UNION SELECT nr.ppm, ne.b, nr.label FROM nr JOIN ne ON ne.a = nr.node AND ne.ppm >= nr.ppm),
+nm AS (SELECT ppm, label, count(*) AS members FROM (SELECT ppm, node, min(label) AS label FROM nr GROUP BY 1, 2) GROUP BY 1, 2)"""
+_NEAR_FACTS = """SELECT 'near-duplicate-clusters', nk.ppm::VARCHAR, count(label) FROM nk LEFT JOIN nm ON nm.ppm = nk.ppm AND members > 1 GROUP BY 2
+  UNION ALL SELECT 'near-duplicate-members', nk.ppm::VARCHAR, coalesce(sum(members), 0)::BIGINT FROM nk LEFT JOIN nm ON nm.ppm = nk.ppm AND members > 1 GROUP BY 2"""
+_TARGETS = _JUDGED.replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("facts(name, key, value) AS (\n") + _NEAR
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, target of the included records."""
+    return _judged(spark, sf_dir).filter("status = 'included'").select("record_id", "target")
+
+
+@query(_TARGETS + f", near_facts(name, key, value) AS ({_NEAR_FACTS}) SELECT name, key, value::BIGINT AS value FROM near_facts")
+def near_duplicate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the targets of all included records at the preview's own thresholds."""
+    return facts.near_duplicate_preview(_targets(spark, sf_dir), "record_id", "target")
+
+
+@query(_TARGETS + " SELECT a, b, ppm AS similarity_ppm FROM nq WHERE ppm >= 800000")
+def similar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_pairs(_targets(spark, sf_dir), "record_id", "target")

@@ -33,3 +33,25 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_near_copies_of_included_targets_equal_all_pairs(spark):
+    from corpusmill.operators.facts import PREVIEW_PPM
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(r.record_id for r in queries.QUERIES["curate_documents"](spark, SF).filter("status = 'included'").collect())
+    norm = {i: " ".join(docs[i][40:].split()).lower() for i in ids}
+    sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t in norm.items()}
+    ppm = {(a, b): len(sets[a] & sets[b]) * 1_000_000 // len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
+    want = {}
+    for least in PREVIEW_PPM:
+        label = {i: i for i in ids}
+        for (a, b), p in ppm.items():
+            if p >= least:
+                label = {i: label[a] if x == label[b] else x for i, x in label.items()}
+        sizes = [n for n in (list(label.values()).count(x) for x in set(label.values())) if n > 1]
+        want |= {("near-duplicate-clusters", str(least)): len(sizes), ("near-duplicate-members", str(least)): sum(sizes)}
+    got = {(r.name, r.key): r.value for r in queries.QUERIES["near_duplicate_targets"](spark, SF).collect()}
+    assert got == want and want["near-duplicate-members", "800000"] > 0
+    pairs = {(r.a, r.b): r.similarity_ppm for r in queries.QUERIES["similar_targets"](spark, SF).collect()}
+    assert pairs == {k: p for k, p in ppm.items() if p >= 800_000}
