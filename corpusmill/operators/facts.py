@@ -123,8 +123,8 @@ def near_duplicate_preview(rows: DataFrame, id_col: str, text_col: str, threshol
 
 
 def gates(facts: DataFrame, gate_values: dict[str, tuple[str, str, int]] = GATES) -> DataFrame:
-    """gate, observed, reached: each gate's fact against its threshold; a fact that is absent counts 0."""
-    observed = {g: F.coalesce(F.sum(F.when((F.col("name") == n) & (F.col("key") == k), F.col("value"))), F.lit(0)) for g, (n, k, _) in gate_values.items()}
+    """gate, observed, reached: each gate's fact against its threshold; both are null where the fact was not computed."""
+    observed = {g: F.sum(F.when((F.col("name") == n) & (F.col("key") == k), F.col("value"))) for g, (n, k, _) in gate_values.items()}
     cells = [F.struct(F.lit(g).alias("gate"), v.cast("long").alias("observed"), (v >= gate_values[g][2]).alias("reached")) for g, v in observed.items()]
     return facts.agg(F.array(*cells).alias("g")).select(F.inline("g"))
 

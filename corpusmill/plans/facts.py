@@ -50,7 +50,10 @@ _FACTS = _JUDGED + " UNION ALL ".join([_DISTRIBUTIONS, _HITS, _CROSSING, _TOKENS
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir)
+    return _facts_of(_judged(spark, sf_dir))
+
+
+def _facts_of(rows: DataFrame) -> DataFrame:
     out = facts.distribution_facts(rows).unionByName(facts.detector_facts(rows)).unionByName(facts.crossing_facts(rows))
     return out.unionByName(facts.token_facts(rows, token_estimate(F.col("target")), 512))
 
@@ -69,7 +72,8 @@ _GATE_ROWS = ", ".join(f"('{g}', '{n}', '{k}', {t})" for g, (n, k, t) in facts.G
 FROM (VALUES {_GATE_ROWS}) v(gate, n, k, least_value) LEFT JOIN facts ON name = n AND key = k GROUP BY gate, least_value"""
 )
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.gates(_facts(spark, sf_dir))
+    """Gates on the facts of `quality_facts` alone; those of other facts say 0, as in the SQL. `report_gates` has all facts."""
+    return facts.gates(_facts(spark, sf_dir)).select("gate", F.coalesce("observed", F.lit(0)).alias("observed"), F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 @query(
@@ -88,6 +92,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.review_queue(curation.curate(_records(spark, sf_dir)))
 
 
+def _family_facts_of(rows: DataFrame) -> DataFrame:
+    """Family facts of rows (label, item): the label is also the rank, and no row has tools or feedback."""
+    none = {c: F.lit(None).cast("string") for c in ("tool_name", "tool_role", "feedback")}
+    return facts.family_facts(rows.withColumn("rank", F.col("label")).withColumns(none).withColumn("paired", F.lit(False)))
+
+
 @query(
     """SELECT name, '' AS key, value::BIGINT AS value FROM (
   SELECT unnest(['missing-labels', 'singleton-label-set', 'tool-role-gaps', 'unpaired-feedback']) AS name,
@@ -97,8 +107,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("item"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("label"))
-    none = {c: F.lit(None).cast("string") for c in ("tool_name", "tool_role", "feedback")}
-    return facts.family_facts(labels.join(docs, "doc_id", "left").withColumn("rank", F.col("label")).withColumns(none).withColumn("paired", F.lit(False)))
+    return _family_facts_of(labels.join(docs, "doc_id", "left"))
 
 
 @query(
@@ -149,3 +158,24 @@ def near_duplicate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TARGETS + " SELECT a, b, ppm AS similarity_ppm FROM nq WHERE ppm >= 800000")
 def similar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(_targets(spark, sf_dir), "record_id", "target")
+
+
+_FAMILY = """SELECT unnest(['missing-labels', 'singleton-label-set', 'tool-role-gaps', 'unpaired-feedback']), '',
+    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT, 0, 0]) FROM labels JOIN inside ON doc_id = record_id
+  UNION ALL SELECT 'ranking-ties', '', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM labels JOIN inside ON doc_id = record_id WHERE quality IS NOT NULL GROUP BY source, quality)"""
+_REPORT = _TARGETS + ", facts(name, key, value) AS (\n" + " UNION ALL ".join([_DISTRIBUTIONS, _HITS, _CROSSING, _TOKENS, _NEAR_FACTS, _FAMILY]) + ")\n"
+
+
+@query(
+    _REPORT
+    + f"""SELECT gate, sum(value)::BIGINT AS observed, sum(value) >= least_value AS reached
+FROM (VALUES {_GATE_ROWS}) v(gate, n, k, least_value) LEFT JOIN facts ON name = n AND key = k GROUP BY gate, least_value"""
+)
+def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates on the facts of the included records, with near-duplicate and family facts; null where no fact is computed (roles)."""
+    rows = _judged(spark, sf_dir)
+    inside = rows.filter("status = 'included'")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("label"))
+    near = facts.near_duplicate_preview(inside.select("record_id", "target"), "record_id", "target")
+    family = _family_facts_of(labels.join(inside.select("record_id", F.col("source").alias("item")), "record_id"))
+    return facts.gates(_facts_of(rows).unionByName(near).unionByName(family))

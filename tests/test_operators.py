@@ -284,3 +284,12 @@ def test_recognised_pages_are_judged_by_confidence(spark):
 
     got = rows(spark, [(None, None), (90.0, 29.0), (59.0, 40.0), (79.0, 40.0), (80.0, 30.0)], "mean double, least double").select(ocr_action(F.col("mean"), F.col("least")).alias("a")).collect()
     assert [r.a for r in got] == ["review", "refuse", "review", "warn", "accept"]
+
+
+def test_a_gate_without_its_fact_is_null(spark):
+    from corpusmill.operators import facts
+
+    some = rows(spark, [("detector-hits", "pii", 0), ("missing-labels", "", 2)], "name string, key string, value long")
+    got = {r.gate: (r.observed, r.reached) for r in facts.gates(some).collect()}
+    assert got.pop("preview-detector-pii") == (0, False) and got.pop("preview-family-missing-label") == (2, True)
+    assert set(got.values()) == {(None, None)}

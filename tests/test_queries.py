@@ -55,3 +55,11 @@ def test_near_copies_of_included_targets_equal_all_pairs(spark):
     assert got == want and want["near-duplicate-members", "800000"] > 0
     pairs = {(r.a, r.b): r.similarity_ppm for r in queries.QUERIES["similar_targets"](spark, SF).collect()}
     assert pairs == {k: p for k, p in ppm.items() if p >= 800_000}
+
+
+def test_gates_of_the_report_see_near_duplicates_and_families(spark):
+    got = {r.gate: (r.observed, r.reached) for r in queries.QUERIES["report_gates"](spark, SF).collect()}
+    near = {(r.name, r.key): r.value for r in queries.QUERIES["near_duplicate_targets"](spark, SF).collect()}
+    assert got["preview-near-duplicate-members"] == (near["near-duplicate-members", "800000"], True)
+    assert got["preview-family-ranking-tie"][1] and got["preview-family-missing-label"] == (0, False)
+    assert got["preview-split-malformed-role"] == (None, None)
