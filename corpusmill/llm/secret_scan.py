@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 All of it is DataFrame expressions on each row: no shuffle, no Python. A window slides over
-a candidate; the counts of its characters change by one entering and one leaving character,
-and with them the sum of n log2 n, kept as a whole number of millionths.
+a candidate; only the counts of the entering and the leaving character change, and with them the
+sum of n log2 n, kept as a whole number of millionths. Both counts are taken in the window itself, so a
+step costs the window, not the candidate or the alphabet.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import id_and_text
-from ._spans import all_matches, joined, no_spans, of_kind, spans
+from ._spans import all_matches, any_span, in_blocks, joined, let, no_spans, of_kind, spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The longest possible runs; shorter ones fail their length and cannot hold another match.
@@ -23,6 +24,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: Candidates: runs of base64 characters, with at least one digit and one letter.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
+LONGEST_IDENTIFIER = 400
 #: Least entropy in bits of a window, by character class of the candidate.
 HEX_BITS, BASE64_BITS = 3.0, 3.8
 #: A word in one case, capitalised or in camel case; and what may end an identifier: a word with few digits, or digits.
@@ -31,10 +33,12 @@ _WORD = r"(?-i:[A-Z]?[a-z]{1,16}(?:[A-Z][a-z]{2,15}){0,3}|[A-Z]{1,16})"
 _END = rf"(?:{_WORD}[0-9]{{0,4}}|[0-9]+)"
 #: Candidates of the hexadecimal class: hexadecimal digits, also behind such words.
 _HEX_CLASS = rf"^(?:{_WORD}[/_-])*+[0-9A-Fa-f]{{20,}}$"
-#: Candidates that are no secrets: identifiers, examples, counting or repeated characters.
+#: Candidates that are no secrets as a whole: identifiers made of words, UUIDs, published sample keys (which end in EXAMPLE),
+#: counting characters, and a short piece said over and over. A word such as "sample" inside a key clears nothing.
 ALLOW = (
-    r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|example|placeholder|changeme|dummy|sample|redacted"
-    rf"|0123456789|1234567890|abcdefgh|(.)\1{{5}}|^{_WORD}[-_]{_WORD}(?:[-_]{_END})*+$|^(?:{_WORD}[/_-])++{_END}?$"
+    r"^(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})$|EXAMPLE(?:KEY)?$"
+    r"|^(?i:0?123456789|9876543210?|abcdefghijklmnopqrstuvwxyz|abcdefgh|abcdef|qwertyuiop|[0/_-])++[0-9A-Za-z]{0,8}$|^(.{1,8}?)\1{2,}+.{0,7}$"
+    rf"|^{_WORD}[-_]{_WORD}(?:[-_]{_END})*+$|^(?:{_WORD}[/_-])++{_END}?$"
 )
 
 
@@ -44,43 +48,45 @@ def _weights(window: int) -> Column:
 
 def entropy_range(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
     """struct(first, last): starts of the first and last window whose entropy reaches `bits`; -1 where none does."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
     g = _weights(window)
-    most = F.round((F.lit(log2(window)) - bits) * window * 1_000_000).cast("int")
 
-    def slide(state: Column, i: Column) -> Column:
-        code = F.get(state["codes"], i)
-        gone = F.when(i >= window, F.get(state["codes"], i - window)).otherwise(-1)
-        n_gone = F.coalesce(F.get(state["counts"], gone), F.lit(0))
-        n_here = F.get(state["counts"], code) - F.when(gone == code, 1).otherwise(0)
-        weight = (
-            state["weight"]
-            + F.when(gone >= 0, F.get(g, n_gone - 1) - F.get(g, n_gone)).otherwise(0)
-            + F.get(g, n_here + 1)
-            - F.get(g, n_here)
-        )
-        high = (i >= window - 1) & (weight <= most)
-        return F.struct(
-            state["codes"].alias("codes"),
-            F.transform(state["counts"], lambda n, k: n + F.when(k == code, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0)).alias("counts"),
-            weight.cast("int").alias("weight"),
-            F.when(high & (state["first"] < 0), i - window + 1).otherwise(state["first"]).alias("first"),
-            F.when(high, i - window + 1).otherwise(state["last"]).alias("last"),
+    def of(x: Column) -> Column:
+        codes = x["codes"]
+
+        def slide(state: Column, i: Column) -> Column:
+            move = F.struct(
+                F.get(codes, i).alias("here"),
+                F.when(i >= window, F.get(codes, i - window)).alias("gone"),
+                # what the windows before and after this step share
+                F.slice(codes, F.greatest(i - window + 1, F.lit(0)) + 1, F.least(i, F.lit(window - 1))).alias("kept"),
+            )
+
+            def moved(m: Column) -> Column:
+                n_here = F.size(F.filter(m["kept"], lambda c: c == m["here"]))
+                n_gone = F.size(F.filter(m["kept"], lambda c: c == m["gone"]))
+                left = F.when(m["gone"].isNotNull(), let(n_gone, lambda n: F.get(g, n) - F.get(g, n + 1))).otherwise(0)
+                return state["weight"] + left + let(n_here, lambda n: F.get(g, n + 1) - F.get(g, n))
+
+            def judged(weight: Column) -> Column:
+                high = (i >= window - 1) & (weight <= x["most"])
+                return F.struct(
+                    weight.cast("int").alias("weight"),
+                    F.when(high & (state["first"] < 0), i - window + 1).otherwise(state["first"]).alias("first"),
+                    F.when(high, i - window + 1).otherwise(state["last"]).alias("last"),
+                )
+
+            return let(let(move, moved), judged)
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(codes) - 1),
+            F.struct(F.lit(0).alias("weight"), F.lit(-1).alias("first"), F.lit(-1).alias("last")),
+            slide,
+            lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
         )
 
-    start = F.struct(
-        codes.alias("codes"),
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0).alias("weight"),
-        F.lit(-1).alias("first"),
-        F.lit(-1).alias("last"),
-    )
-    return F.aggregate(
-        F.sequence(F.lit(0), F.length(candidate) - 1),
-        start,
-        slide,
-        lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
-    )
+    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    most = F.round((F.lit(log2(window)) - bits) * window * 1_000_000).cast("int")
+    return let(F.struct(codes.alias("codes"), most.alias("most")), of)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,9 +122,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
         ).alias("base"),
     )
-    candidates = F.filter(
-        spans(text, F.col("h_entropy"), CANDIDATE, "entropy", 3),
-        lambda s: ~s["value"].rlike(ALLOW) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
+    # identifiers are short: longer candidates are judged by their entropy alone
+    cleared = lambda v: (F.length(v) <= LONGEST_IDENTIFIER) & v.rlike(ALLOW)
+    candidates = let(
+        in_blocks(F.col("base")),
+        lambda blocks: F.filter(spans(text, F.col("h_entropy"), CANDIDATE, "entropy", 3), lambda s: ~cleared(s["value"]) & ~any_span(blocks, s["start"], s["end"])),
     )
     bits = lambda v: F.when(v.rlike(_HEX_CLASS), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
     ranged = F.transform(candidates, lambda s: F.struct(s.alias("s"), entropy_range(s["value"], bits(s["value"])).alias("r")))

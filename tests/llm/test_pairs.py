@@ -117,9 +117,18 @@ def test_super_kmers_cover_each_window_once():
     assert seen == [s for a, b in zip(at.tolist(), at[1:].tolist()) for s in range(a, b - 12)]
 
 
-@pytest.mark.parametrize("lookup", [100_000, 3])
-def test_leaks_are_found_and_clean_documents_are_not(spark, nothing, monkeypatch, lookup):
-    monkeypatch.setattr(decontamination, "LOOKUP_SHINGLES", lookup)
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_leaks_are_found_and_clean_documents_are_not(spark, nothing, threshold):
+    """With anchors broadcast, and with sort-merge joins throughout."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        leaks(spark, nothing)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def leaks(spark, nothing):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(500)]
     text = lambda n: [rng.choice(words) for _ in range(n)]
@@ -146,6 +155,74 @@ def test_leaks_are_found_and_clean_documents_are_not(spark, nothing, monkeypatch
     assert decontamination.find_leaks(nothing, bench).count() == 0
 
 
+def plain_windows(docs, items, limit=0.8):
+    """(doc, item) -> best (similarity, first start) over every window of the item's size."""
+    gram = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    out = {}
+    for i, text in docs:
+        w = text.lower().split()
+        for j, item in items:
+            v = item.split()
+            want, size = gram(v), len(v) - 4
+            known = [tuple(w[k : k + 5]) in want for k in range(len(w) - 4)]
+            for a in range(len(w) - len(v) + 1):
+                if sum(known[a : a + size]) * 1.8 < size:
+                    continue
+                common = sum((gram(w[a : a + len(v)]) & want).values())
+                score = common / (2 * size - common)
+                if score >= limit and score > out.get((i, j), (0, 0))[0]:
+                    out[(i, j)] = (score, a)
+    return out
+
+
+def test_every_window_is_tried(spark):
+    """Edits, moved halves, repeated words and near items: all windows of all sizes against the operator."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(rng.choice([15, 24, 40, 80])) for _ in range(24)]
+    items.append([*items[3][:-2], "x", "y"])  # a near copy of another item
+    items.append(["ho"] * 30)  # one shingle, many times
+    items.append(items[5])
+    docs = []
+    for k in range(260):
+        v = list(items[rng.randrange(len(items))])
+        if k % 4 == 0:
+            v = v[len(v) // 2 :] + v[: len(v) // 2]
+        for _ in range(rng.randint(0, max(1, len(v) // 25))):
+            v[rng.randrange(len(v))] = "edit"
+        if k % 5 == 0:
+            v = v[:3] + v[:-3]
+        docs.append((k, " ".join(text(rng.randint(0, 30)) + v + text(rng.randint(0, 30)))))
+    bench = list(enumerate(" ".join(v) for v in items))
+    want = plain_windows(docs, bench)
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(abs(r.similarity_ppm / 1e6 - want[k][0]) < 2e-6 and r.start == want[k][1] for k, r in got.items() if k in want and want[k][0] > 0.86)
+    assert {k for k, (score, _) in want.items() if score >= 0.86} <= set(got)
+    assert len(got) >= 0.98 * len(want) and sum(score < 0.9 for score, _ in want.values()) > 20
+
+
+def test_swapped_halves_are_leaks(spark):
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(500)}" for _ in range(80)] for _ in range(20)]
+    docs = [(k, " ".join([*"a b c d e f g h".split(), *v[40:], *v[:40], *"i j k l m".split()])) for k, v in enumerate(items)]
+    bench = [(k, " ".join(v)) for k, v in enumerate(items)]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(20)}
+
+
+def test_extra_columns_and_long_texts_of_decontamination(spark):
+    rng = random.Random(13)
+    item = " ".join(f"w{rng.randrange(900)}" for _ in range(30))
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(60_000))
+    rows = [(1, long + " " + item, 1, 2, "a"), (1, "other", 1, 2, "b"), (2, long, 1, 2, "c"), (None, item, 1, 2, "d"), (3, None, 1, 2, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, h int, item_id string")
+    bench = spark.createDataFrame([(7, item, 1), (8, item, 2)], "item_id long, text string, n int")
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.start) for r in got) == [(0, 7, 0), (0, 8, 0), (1, 7, 60_000), (1, 8, 60_000)]
+    assert [r.item_id for r in decontamination.decontaminate(docs, bench).orderBy("item_id").collect()] == ["c", "e"]
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = random.Random(1)
     for _ in range(300):
