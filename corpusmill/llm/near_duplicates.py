@@ -12,7 +12,10 @@ Links are only needed as far as they connect something new:
    as members), confirmed links are merged into components, and that is done again with the
    members outside the bucket's largest component;
 3. all pairs of a bucket that still lie in different components and whose sketches are close
-   enough are confirmed, so no link between components is missed.
+   enough are confirmed, so no link between components is missed; the members of a large bucket are
+   dealt into a grid of cells, so that its pairs are shared out among tasks.
+
+Classes have numbers of their own, as one doc_id may have rows with different texts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import id_and_text, map_texts, steps
-from ._shared import partitions, written
+from ._shared import partitions, removed, written
 
 WORDS = 5
 #: Rows of a band, and bands. A pair at 85 % shares a band but for one case in a million.
@@ -39,6 +42,8 @@ SLACK = 5.0
 HASH_ENTRIES = 150_000
 #: Star turns before the remaining pairs are taken up one by one.
 TURNS = 2
+#: Members of a bucket that meet in one cell, and bytes of sets that one task of the confirmation holds.
+CELL, PART_BYTES = 4096, 32 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -134,19 +139,22 @@ def most_differing_bits(a: Column, b: Column, percent: int) -> Column:
 
 
 _SIGNATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("text_hash", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 )
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set, null if empty), bands, sketch for each row."""
+    """doc_id, n_shingles, fp (digest of the set, null if empty), text_hash (xxhash64 of the text), bands, sketch for each row."""
     from hashlib import blake2b
 
     def work(ids: list, texts: list) -> dict:
-        out = {"doc_id": ids, "n_shingles": [], "fp": [], "bands": [], "sketch": []}
+        import xxhash
+
+        out = {"doc_id": ids, "n_shingles": [], "fp": [], "text_hash": [], "bands": [], "sketch": []}
         for t in texts:
             s = shingle_set(t, n)
             out["n_shingles"].append(len(s))
+            out["text_hash"].append(int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), seed=42)).view(np.int64)))
             if len(s):
                 samples = min_hashes(s)
                 out["fp"].append(blake2b(s.tobytes(), digest_size=16).digest())
@@ -157,7 +165,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out[k].append(None)
         return out
 
-    return map_texts(id_and_text(docs, id_col, text_col), work, _SIGNATURES, "doc_id long, n_shingles long, fp binary, bands array<long>, sketch array<long>")
+    return map_texts(id_and_text(docs, id_col, text_col), work, _SIGNATURES, "doc_id long, n_shingles long, fp binary, text_hash long, bands array<long>, sketch array<long>")
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -167,38 +175,36 @@ def _close(a: str, b: str, percent: int) -> Column:
     return sizes & (bits <= most_differing_bits(F.col(f"{a}n"), F.col(f"{b}n"), percent))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """rep, part, hashes (raw 64-bit integers): full sets of the wanted documents (`wanted` has a column rep)."""
-    spark = docs.sparkSession
-    parts = 2 * partitions(spark)
-    texts = id_and_text(docs).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame, parts: int, n: int) -> DataFrame:
+    """node, part, hashes (raw 64-bit integers): full sets of the wanted classes (node, rep, text_hash), from the text of one row of each."""
+    wanted = wanted.withColumnRenamed("text_hash", "own_hash")
+    texts = id_and_text(docs).join(wanted, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("own_hash"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in steps(batches):
-            yield pa.RecordBatch.from_pydict({"rep": ids, "hashes": [shingle_set(t, n).tobytes() for t in rows]}, schema=pa.schema([("rep", pa.int64()), ("hashes", pa.binary())]))
+        for nodes, rows in steps(batches):
+            yield pa.RecordBatch.from_pydict({"node": nodes, "hashes": [shingle_set(t, n).tobytes() for t in rows]}, schema=pa.schema([("node", pa.int64()), ("hashes", pa.binary())]))
 
-    got = texts.mapInArrow(run, "rep long, hashes binary")
-    return got.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
+    got = texts.mapInArrow(run, "node long, hashes binary")
+    return got.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """u, v of the pairs (hub, other) whose full sets reach the similarity.
 
     A hub's set travels once to each part of the others' sets, not once for each pair.
     """
-    asked = pairs.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(2 * partitions(pairs.sparkSession))).cast("int"))
+    asked = pairs.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(parts)).cast("int"))
+    # no list is longer than its part has sets, whose bytes are bounded
     asked = asked.groupBy("hub", "part").agg(F.collect_set("other").alias("others"))
-    asked = asked.join(sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("hub_set")), "hub").select("part", "hub", "others", "hub_set")
+    asked = asked.join(sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_set")), "hub").select("part", "hub", "others", "hub_set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = {i: np.frombuffer(h, np.uint64) for i, h in zip(left["rep"].to_pylist(), left["hashes"].to_pylist())}
+        own = {i: np.frombuffer(h, np.uint64) for i, h in zip(left["node"].to_pylist(), left["hashes"].to_pylist())}
         u, v = [], []
         for k in range(right.num_rows):
             hub, hashes = right["hub"][k].as_py(), np.frombuffer(right["hub_set"][k].as_py(), np.uint64)
             for other in right["others"][k].as_py():
-                s = own.get(other)
-                if s is None:
-                    continue
+                s = own[other]
                 both = np.concatenate([s, hashes])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -207,14 +213,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     v.append(max(hub, other))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return sets.select("part", "rep", "hashes").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "u long, v long").distinct()
+    return sets.select("part", "node", "hashes").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "u long, v long").distinct()
+
+
+def _twins(sig: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of rows that share a doc_id."""
+    own = sig.filter("fp is not null and doc_id is not null").select("doc_id", "fp", F.xxhash64("fp").alias("h"))
+    several = own.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("doc_id")
+    ends = own.join(several, "doc_id").join(reps.select("fp", "node"), "fp").select("doc_id", "node").distinct()
+    least = ends.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return ends.join(least, "doc_id").filter("u < node").select("u", F.col("node").alias("v"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, comp (smallest node reachable) for all nodes with an edge (u, v): alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (smallest node reachable) for all nodes with an edge (u, v): alternating large and small stars until nothing changes."""
     edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -223,7 +238,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("a"), F.col("u").alias("b"), "v")
         pairs = small.select("a", F.explode(F.array("b", "v")).alias("b")).filter("a < b")
-        edges = written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        last, edges = edges, written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        removed(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == mark:
             break
@@ -236,59 +252,71 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, id_col:
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; a component's id is
     its smallest doc_id, and that document is kept. Null, empty or blank texts have no shingles and
-    link with nothing. Rows with one doc_id count as one document: they share the component of their linked
-    rows and stay or go together. Rows with a null id link with nothing, have a null component and are
-    kept. An empty table gives an empty table; other columns are not read.
+    link with nothing: they keep their own doc_id. Rows with one doc_id count as one document: those with words share
+    the component of their linked rows and stay or go together. Rows with a null id link with nothing, have a null
+    component and are kept. An empty table gives an empty table; other columns are not read.
     """
     docs = id_and_text(docs, id_col, text_col)
     sig = written(signatures(docs, n=n), "signatures")
     classes = sig.filter("fp is not null and doc_id is not null").groupBy("fp")
-    reps = written(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "representatives")
-    # members of buckets with more than one representative
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    reps = classes.agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = written(reps.select("fp", "row.doc_id", "row.text_hash", "n", "bands", "sketch").withColumnRenamed("doc_id", "rep").withColumn("node", F.monotonically_increasing_id()), "representatives")
+    parts = max(2 * partitions(docs.sparkSession), 8 * (reps.agg(F.sum("n")).first()[0] or 0) // PART_BYTES)
+    # members of buckets with more than one class
+    keyed = reps.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = written(keyed.join(shared, "key"), "members")
-    light = reps.select("rep", "n", "sketch")
-    sets = written(_sets(docs, members.select("rep").distinct(), n), "sets")
+    light = reps.select("node", "n", "sketch")
+    sets = written(_sets(docs, reps.select("node", "rep", "text_hash").join(members.select("node").distinct(), "node"), parts, n), "sets")
 
-    links = comp = asked = None
+    links = written(_twins(sig, reps), "links")
+    comp = None if links.isEmpty() else written(components(links), "components")
+    asked = None
     for turn in range(TURNS):
-        tagged = members.withColumn("comp", F.col("rep"))
+        tagged = members.withColumn("comp", F.col("node"))
         if comp is not None:
-            tagged = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            tagged = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # the hub of a bucket: a member drawn by a hash, from the largest component
-        draw = F.struct(F.xxhash64(F.lit(turn), "key", "rep").alias("h"), F.col("rep").alias("rep"))
+        draw = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), F.col("node").alias("node"))
         groups = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("hub"))
         hubs = groups.groupBy("key").agg(F.max(F.struct("size", (-F.col("comp")).alias("c"), "hub")).alias("top"), F.count(F.lit(1)).alias("comps"))
-        hubs = hubs.filter("comps > 1").select("key", F.col("top.hub.rep").alias("hub"), (-F.col("top.c")).alias("hub_comp"))
-        star = tagged.join(hubs, "key").filter("comp <> hub_comp").select("hub", F.col("rep").alias("other")).distinct()
-        star = star.join(light.select(*[F.col(c).alias("a_" + c) for c in light.columns]), F.col("hub") == F.col("a_rep"))
-        star = star.join(light.select(*[F.col(c).alias("b_" + c) for c in light.columns]), F.col("other") == F.col("b_rep"))
+        hubs = hubs.filter("comps > 1").select("key", F.col("top.hub.node").alias("hub"), (-F.col("top.c")).alias("hub_comp"))
+        star = tagged.join(hubs, "key").filter("comp <> hub_comp").select("hub", F.col("node").alias("other")).distinct()
+        star = star.join(light.select(*[F.col(c).alias("a_" + c) for c in light.columns]), F.col("hub") == F.col("a_node"))
+        star = star.join(light.select(*[F.col(c).alias("b_" + c) for c in light.columns]), F.col("other") == F.col("b_node"))
         star = written(star.filter(_close("a_", "b_", percent)).select("hub", "other"), "star")
         asked = star if asked is None else asked.union(star)
-        new = confirm(star, sets, percent)
-        links = written(new if comp is None else _contracted(new, comp).union(links), "links")
+        new = confirm(star, sets, parts, percent)
+        links = written(new.union(links) if comp is None else _contracted(new, comp).union(links), "links")
         comp = written(components(links), "components")
 
     # what still lies in different components of one bucket
-    heavy = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    heavy = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = heavy.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("main"))
-    heavy = written(heavy.join(mixed, "key").join(reps.select("rep", "n", "sketch", "bands"), "rep"), "mixed")
-    odd = heavy.filter("comp <> main").select("key", *[F.col(c).alias("a_" + c) for c in ("rep", "comp", "n", "sketch", "bands")])
-    rest = heavy.select("key", "main", *[F.col(c).alias("b_" + c) for c in ("rep", "comp", "n", "sketch", "bands")])
+    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("size")).filter("comps > 1")
+    mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    heavy = written(heavy.join(mixed, "key").join(reps.select("node", "n", "sketch", "bands"), "node"), "mixed")
+    cell, all_cells = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    fields = ("node", "comp", "n", "sketch", "bands")
+    odd = heavy.filter("comp <> main").select("key", cell.alias("row"), all_cells.alias("column"), *[F.col(c).alias("a_" + c) for c in fields])
+    rest = heavy.select("key", all_cells.alias("row"), cell.alias("column"), "main", *[F.col(c).alias("b_" + c) for c in fields])
     # a pair counts in the first bucket that it shares
     same = F.transform(F.arrays_zip(F.col("a_bands").alias("x"), F.col("b_bands").alias("y")), lambda z: F.when(z["x"] == z["y"], z["x"]))
     first = F.get(F.filter(same, lambda k: k.isNotNull()), F.lit(0))
-    apart = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a_rep") < F.col("b_rep")))
-    pairs = odd.alias("o").join(rest.alias("r"), (F.col("o.key") == F.col("r.key")) & apart & _close("a_", "b_", percent) & (first == F.col("o.key")))
-    pairs = pairs.select(F.col("a_rep").alias("hub"), F.col("b_rep").alias("other")).distinct()
+    apart = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
+    met = (F.col("o.key") == F.col("r.key")) & (F.col("o.row") == F.col("r.row")) & (F.col("o.column") == F.col("r.column"))
+    pairs = odd.alias("o").join(rest.alias("r"), met & apart & _close("a_", "b_", percent) & (first == F.col("o.key")))
+    pairs = pairs.select(F.col("a_node").alias("hub"), F.col("b_node").alias("other")).distinct()
     tried = asked.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"))
     pairs = pairs.join(tried, (F.least("hub", "other") == F.col("x")) & (F.greatest("hub", "other") == F.col("y")), "left_anti")
-    links = _contracted(confirm(written(pairs, "pairs"), sets, percent), comp).union(links)
+    links = _contracted(confirm(written(pairs, "pairs"), sets, parts, percent), comp).union(links)
     comp = written(components(links), "components")
 
-    found = reps.select("fp", "rep").join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("component"))
+    # a component is named by its smallest doc_id
+    found = reps.select("fp", "rep", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = found.groupBy("comp").agg(F.min("rep").alias("component"))
+    found = found.join(names, "comp").select("fp", "component")
     rows = sig.select("doc_id", "n_shingles", "fp").join(found, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))

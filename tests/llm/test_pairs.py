@@ -61,6 +61,49 @@ def test_near_duplicates_equal_all_pairs(spark, awkward, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0
 
 
+def by_id(rows):
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
+
+
+def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(40):  # 1 ~ 2, 2 has another text, which 3 resembles
+        x, y = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        a, b, c = 3 * k, 3 * k + 1, 3 * k + 2
+        rows += [(a, " ".join(x)), (b, " ".join([*x[:-1], "end"])), (b, " ".join([*y[:-1], "end"])), (c, " ".join(y)), (c, "")]
+    want = plain_components(rows)
+    assert all(want[3 * k + j] == 3 * k for k in range(40) for j in range(3))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_id(got) == Counter((i, len(shingles(t)), want[i] if t else i, i == (want[i] if t else i)) for i, t in rows)
+
+
+def test_large_buckets_are_shared_out(spark, monkeypatch):
+    """A template of which all copies are just under the limit, some just over it, in several cells."""
+    monkeypatch.setattr(near_duplicates, "CELL", 200)
+    rng = random.Random(15)
+    template = [f"t{k}" for k in range(230)]
+    rows = []
+    for k in range(600):
+        own = list(template)
+        for a in (20, 100, 180, 226)[: 4 if k % 50 else 3]:  # each edit costs five shingles
+            own[a] = f"u{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    assert 100 * len(sets[1] & sets[2]) < 85 * len(sets[1] | sets[2]) <= 101.5 * len(sets[1] & sets[2])
+    want = plain_components(rows)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_id(got) == Counter((i, len(shingles(t)), want[i], want[i] == i) for i, t in rows) and 500 < len(set(want.values())) < 600
+
+
+def test_components_of_a_long_chain_in_any_order(spark):
+    ids = list(range(700))
+    random.Random(16).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    got = near_duplicates.components(edges).collect()
+    assert sorted((r.node, r.comp) for r in got) == [(k, 0) for k in range(700)]
+
+
 def test_sketches_never_part_similar_sets(spark):
     from pyspark.sql import functions as F
 
@@ -109,6 +152,29 @@ def test_repeats_equal_a_plain_scan(spark, awkward, nothing):
     assert substrings.repeats_report(nothing).count() == 0
 
 
+def test_a_minimiser_of_every_document_is_split(spark, monkeypatch):
+    """Half of all documents hold a phrase with the least piece in different surroundings, some surroundings repeat."""
+    monkeypatch.setattr(substrings, "SPLIT", 8)
+    rng = random.Random(18)
+    phrase = "the same five words here".split()
+    rows = []
+    for k in range(300):
+        own = [f"w{rng.randrange(40)}" for _ in range(9)] + phrase + [f"w{rng.randrange(40)}" for _ in range(9)]
+        if k % 3 == 0 and rows:
+            own = rng.choice(rows)[1].split()[:20] + own
+        rows.append((k, " ".join(own)))
+    got = substrings.repeats_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_repeats(rows)
+    words, at = substrings._flat([t for _, t in rows])
+    hashes = substrings._word_hashes(words, len(words))
+    first, stop, _, keys, before = substrings._keyed(hashes, at, np.empty(0, np.uint64), 13, 5, 64)
+    top = Counter(before.tolist()).most_common(1)[0][0]
+    first2, stop2, _, keys2, before2 = substrings._keyed(hashes, at, np.array([top], np.uint64), 13, 5, 64)
+    assert len(set((keys2[before2 == top] >> np.uint64(32)).tolist())) > 10
+    cover = lambda a, b: sorted(w for x, y in zip(a.tolist(), b.tolist()) for w in range(x, y))
+    assert cover(first, stop) == cover(first2, stop2)
+
+
 def test_super_kmers_cover_each_window_once():
     texts = ["a b c d e f g h i j k l m n o p q r s t", "", "too short", " ".join("xyxxyxyyxyxyxyxyxxyy")]
     words, at = substrings._flat(texts)
