@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Trained by stochastic gradient descent in numpy on a bounded sample of labelled rows;
-scores are calibrated by a temperature and a rejection threshold fitted on a part of the
-sample that the descent does not see.
+Trained by stochastic gradient descent in numpy on windows of a bounded sample of labelled rows.
+Scores are calibrated on whole texts that the descent does not see: one half of them fits a
+temperature, the other half a rejection threshold and the reported error and rejection rates.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import id_and_text, map_texts
+from ._shared import written
 
-#: Rows of each language that training takes at most, and languages at most.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 800, 200
+#: Rows of each language that the sample takes at most, and rows that all languages share; each language gets one at least.
+SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL = 800, 160_000
+#: One row of the sample in so many is kept for calibration.
+CALIBRATION = 5
 #: Windows of characters that training draws from each sampled text, and their length.
 WINDOWS, WINDOW_CHARS = 3, 240
-BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 4, 0.1
+BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 8, 0.1
 LENGTHS = (1, 2, 3)
 #: Share of correct predictions that the rejection threshold keeps on the calibration part.
 KEEP_CORRECT = 0.995
@@ -32,7 +35,7 @@ UNKNOWN = "und"
 @lru_cache(1)
 def _letters() -> np.ndarray:
     table = np.zeros(0x110000, bool)
-    table[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+    table[[c for c in range(0x110000) if chr(c).isalpha()]] = True
     return table
 
 
@@ -71,13 +74,14 @@ class Model:
     languages: list[str]
     table: np.ndarray  # bucket x language: embedding times output weights
     bias: np.ndarray
-    temperature: float
-    threshold: float
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        """Language, calibrated probability and acceptance of each text."""
-        if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    temperature: float = 1.0
+    threshold: float = 0.0
+    #: Share of wrong predictions among accepted ones, and of rejected ones, on the texts that set the threshold.
+    error: float = 0.0
+    rejected: float = 0.0
+
+    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores before calibration, by text and language, and whether a text has a letter."""
         codes, at = features(texts)
         sums = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(at[1:] > at[:-1])
@@ -88,41 +92,56 @@ class Model:
                 total = sum(column[b] for b in buckets)
                 sums[full, k] = np.add.reduceat(total, at[:-1][full], dtype=np.float64)
         sizes = np.maximum(1, at[1:] - at[:-1])[:, None] * len(LENGTHS)
-        logits = (sums / sizes + self.bias) / self.temperature
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        lang, score, ok = [], [], []
-        for i, k in enumerate(best.tolist()):
-            some = at[i + 1] > at[i]
-            lang.append(self.languages[k] if some else UNKNOWN)
-            score.append(float(min(1.0, p[i, k])) if some else 0.0)
-            ok.append(bool(some and p[i, k] >= self.threshold))
-        return lang, score, ok
-
-
-def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fit embeddings and output weights; one part in five is kept for calibration."""
+        return sums / sizes + self.bias, at[1:] > at[:-1]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, calibrated probability and acceptance of each text."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        logits, some = self.logits(texts)
+        p = _softmax(logits / self.temperature)
+        best, score = p.argmax(1), np.minimum(1.0, p.max(1))
+        lang = [self.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())]
+        return lang, np.where(some, score, 0.0).tolist(), (some & (score >= self.threshold)).tolist()
+
+    def calibrate(self, logits: np.ndarray, labels: list[str]) -> None:
+        """Fit the temperature on every other row, and the threshold and rates on the rest."""
+        y = np.array([self.languages.index(x) for x in labels], np.int64)
+
+        def loss(t: float) -> float:
+            s = logits[::2] / t
+            s = s - s.max(1, keepdims=True)
+            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[::2]]).mean())
+
+        if len(y) < 2:
+            return
+        self.temperature = min((2.0**k for k in np.arange(-6, 4.01, 0.25)), key=loss)
+        p = _softmax(logits[1::2] / self.temperature)
+        score, right = np.minimum(1.0, p.max(1)), p.argmax(1) == y[1::2]
+        self.threshold = float(np.quantile(score[right], 1 - KEEP_CORRECT)) if right.any() else 0.0
+        taken = score >= self.threshold
+        self.error, self.rejected = float((~right[taken]).mean()) if taken.any() else 0.0, float((~taken).mean())
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def train(pieces: list[str], labels: list[str], seed: int = 7) -> Model:
+    """Fit embeddings and output weights to pieces of text."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    samples, wanted = [], []
-    for t, label in zip(texts, labels):
-        for k in range(WINDOWS):
-            a = int(rng.integers(0, max(1, len(t) - WINDOW_CHARS + 1)))
-            samples.append(t[a : a + WINDOW_CHARS])
-            wanted.append(languages.index(label))
-    codes, at = features(samples)
+    codes, at = features(pieces)
     if not len(codes):
-        return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0, 0.0)
+        return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)))
     buckets = np.stack([b.astype(np.uint16) for b in hashed(codes)], 1)
     del codes
-    y = np.array(wanted)
-    group = np.arange(len(samples)) // WINDOWS  # windows of one text stay on one side
-    some = at[1:] > at[:-1]
-    held = (group % 5 == 4) & some
-    use = np.flatnonzero(some & ~held)
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
+    use = np.flatnonzero(at[1:] > at[:-1])
     emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     out = rng.standard_normal((DIM, len(languages)), np.float32) / DIM
     bias = np.zeros(len(languages), np.float32)
@@ -158,24 +177,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             at_emb = idx[sort][first]
             seen_emb[at_emb] += (own**2).mean(1, keepdims=True)
             emb[at_emb] -= rate * own / np.sqrt(seen_emb[at_emb])
-    model = Model(languages, emb @ out, bias.astype(np.float64), 1.0, 0.0)
-    rows = np.flatnonzero(held)
-    if len(rows):
-        h, _, _ = hidden(rows)
-        z = h @ out + bias
-
-        def loss(t: float) -> float:
-            s = z / t
-            s = s - s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(rows)), y[rows]]).mean())
-
-        model.temperature = min((2.0**k for k in np.arange(-4, 4.01, 0.25)), key=loss)
-        s = z / model.temperature
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        right = p.max(1)[p.argmax(1) == y[rows]]
-        model.threshold = float(np.quantile(right, 1 - KEEP_CORRECT)) if len(right) else 0.0
-    return model
+    return Model(languages, emb @ out, bias.astype(np.float64))
 
 
 def held_out(doc_id: F.Column, folds: int = 4, fold: int = 2) -> F.Column:
@@ -183,26 +185,26 @@ def held_out(doc_id: F.Column, folds: int = 4, fold: int = 2) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """Up to about `per_language` labelled rows of each language, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_TOTAL) -> DataFrame:
+    """doc_id, text, lang, calibration: about `per_language` labelled rows of each language, drawn by a hash of the id.
 
-    The share to draw follows from counts of all rows, so a language's sample does not
-    depend on the order or the partitions of the table.
+    All languages take part; where they would come to more than `total` rows, each gets an equal share. The share to
+    draw follows from counts of all rows, so a language's sample does not depend on the order or the partitions of the table.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    space, share = 1 << 30, F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(space, space * per_language // r["count"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(space))
-    return rows.filter(draw < share)
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    each, space = max(1, min(per_language, total // max(1, counts.count()))), 1 << 30
+    draw = lambda what: F.xxhash64(F.lit(what), "doc_id")
+    taken = rows.join(counts, "lang").filter(F.pmod(draw("sample"), F.lit(space)) * F.col("size") < F.lit(space * each))
+    return taken.select("doc_id", "text", "lang", (F.pmod(draw("calibration"), F.lit(CALIBRATION)) == 0).alias("calibration"))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Train on the sample: its size is bounded by per_language x MAX_LANGUAGES windows, whatever the table's size.
+    """Train on windows of the sample and calibrate on whole texts of its other rows.
 
-    The windows are cut from whole texts in the executors; only they come to the driver.
+    Windows are cut, and whole texts scored, in the executors: the driver gets windows and one row of scores for each
+    calibration text, both bounded by the sample's size, whatever the table's. The model has BUCKETS numbers for each language.
     """
 
     def cut(batches):
@@ -217,9 +219,25 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                     langs.append(label)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "text": parts, "lang": langs}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())]))
 
-    got = training_sample(docs, per_language).mapInArrow(cut, "doc_id long, text string, lang string").toArrow()
+    sample = labelled_sample(docs, per_language)
+    got = sample.filter("not calibration").select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, text string, lang string").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
-    return train(got["text"].to_pylist(), got["lang"].to_pylist())
+    model = train(got["text"].to_pylist(), got["lang"].to_pylist())
+    if not model.languages:
+        return model
+
+    def score(batches):
+        for batch in batches:
+            logits, some = model.logits(batch.column(1).to_pylist())
+            keep = np.flatnonzero(some & np.isin(batch.column(2).to_pylist(), model.languages))
+            rows = [logits[k].astype(np.float32) for k in keep]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(keep)), "lang": batch.column(2).take(pa.array(keep)), "logits": pa.array(rows, pa.list_(pa.float32()))})
+
+    got = sample.filter("calibration").select("doc_id", "text", "lang").mapInArrow(score, "doc_id long, lang string, logits array<float>").toArrow()
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["logits"].to_pylist()))
+    if rows:
+        model.calibrate(np.array([r[2] for r in rows], np.float64), [r[1] for r in rows])
+    return model
 
 
 def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
