@@ -164,7 +164,7 @@ def _places(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _spots(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """spot, doc_id, n, h, size, base, near, prints: shingles around each anchor, and the fingerprints of the windows that hold it."""
+    """spot, doc_id, text_hash, n, h, size, base, near, prints: shingles around each anchor, and the fingerprints of the windows that hold it."""
     places = places.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "hits")
     rows = docs.select(*_same_row(), "text").join(places, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
 
@@ -182,7 +182,7 @@ def _spots(docs: DataFrame, places: DataFrame) -> DataFrame:
 
         return F.filter(F.transform(F.col("hits"), one), lambda x: F.size(x["near"]) >= x["size"])
 
-    near = rows.select("doc_id", F.explode(let(_measured(F.col("text")), cut)).alias("x")).select("doc_id", "x.*").distinct()
+    near = rows.select("doc_id", "text_hash", F.explode(let(_measured(F.col("text")), cut)).alias("x")).select("doc_id", "text_hash", "x.*").distinct()
     return written(near.withColumn("prints", window_prints(F.col("near"), F.col("size"))).withColumn("spot", F.monotonically_increasing_id()), "spots")
 
 
@@ -199,15 +199,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spots = _spots(docs, _places(docs, items))
     block = F.explode(F.sequence(F.lit(0), F.lit(RADIUS))).alias("block")
-    left = spots.select("spot", "n", "h", F.posexplode("prints").alias("shift", "f")).select("*", block).withColumn("value", block_value(F.col("f"), F.col("block")))
+    left = spots.select("spot", "doc_id", "text_hash", "base", "n", "h", F.posexplode("prints").alias("shift", "f")).withColumn("start", F.col("base") + F.col("shift")).select("*", block).withColumn("value", block_value(F.col("f"), F.col("block")))
     right = items.select("item_no", "n", F.col("f").alias("g"), F.explode("anchors").alias("h")).select("*", block).withColumn("value", block_value(F.col("g"), F.col("block")))
     near = left.join(right, ["n", "h", "block", "value"]).withColumn("x", F.col("f").bitwiseXOR(F.col("g"))).filter(F.bit_count("x") <= RADIUS)
     # a pair that agrees on several blocks counts at the first of them only
     earlier = F.exists(F.sequence(F.lit(0), F.lit(RADIUS)), lambda k: (k < F.col("block")) & (block_value(F.col("x"), k) == 0))
-    near = near.filter(~earlier).select("spot", "shift", "item_no")
-    scored = near.join(spots.select("spot", "doc_id", "size", "base", "near"), "spot").join(items.select("item_no", "item", "anchors"), "item_no")
-    window = F.slice("near", F.col("shift") + 1, F.col("size")).alias("window")
-    scored = scored.select("doc_id", "item_no", (F.col("base") + F.col("shift")).alias("start"), "item", window)
+    # and one that has several anchors, around one of them
+    near = near.filter(~earlier).groupBy("doc_id", "text_hash", "start", "item_no").agg(F.min("spot").alias("spot")).select("spot", "start", "item_no")
+    scored = near.join(spots.select("spot", "doc_id", "size", "base", "near"), "spot").join(items.select("item_no", "item"), "item_no")
+    window = F.slice("near", F.col("start") - F.col("base") + 1, F.col("size")).alias("window")
+    scored = scored.select("doc_id", "item_no", "start", "item", window)
     scored = scored.withColumn("similarity_ppm", similarity_ppm(F.col("window"), F.col("item")))
     good = scored.filter(F.col("similarity_ppm") >= SIMILARITY_PERCENT * 10_000)
     best = good.groupBy("doc_id", "item_no").agg(F.max(F.struct("similarity_ppm", (-F.col("start")).alias("start"))).alias("best"))
@@ -217,4 +218,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without those whose doc_id has a leak, with all columns; null ids are compared as equal."""
     leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["__leaked"]), "left_anti")
