@@ -1,28 +1,31 @@
 """Token counts without token ids.
 
-Each block of documents becomes a table of distinct pre-tokens and a table of frequencies
-(document, pre-token, how often). The library counts the pieces of each distinct pre-token
-once, the counts are joined back to the frequencies by key, and a sum per document follows.
-Blocks live inside one task, so no frequency row is ever shuffled; counts of pre-tokens met
-before stay in a bounded table of the worker.
+1. Each block of documents becomes a list of its distinct pre-tokens, and for each document the places
+   in that list with how often the document has them. Blocks are written once.
+2. The distinct pre-tokens of the corpus are counted once each by the library.
+3. Counts are joined to the blocks' lists by pre-token and go back to the blocks, which sum them
+   over the frequencies of each document.
+
+A frequent pre-token travels once for each block that has it, not for each document; frequencies never travel.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
-from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import id_and_text, map_texts
+from ._batches import id_and_text
+from ._shared import written
 
-#: Distinct pre-tokens whose counts one Python worker remembers.
-TABLE_ENTRIES = 500_000
+#: Characters of text in a block; one longer text is a block of its own.
+BLOCK_CHARS = 4_000_000
 
 
 def default_vocabulary() -> str:
@@ -31,8 +34,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PieceCounts(dict):
-    """Pre-token -> its number of pieces, as the library gives it."""
+class PreTokens:
+    """Pre-tokens of texts, and their numbers of pieces as the library gives them."""
 
     def __init__(self, path: str):
         import os
@@ -43,7 +46,6 @@ class PieceCounts(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,28 +69,95 @@ class PieceCounts(dict):
         parts.update(self.find(text[last:]))
         return parts, n
 
-    def learn(self, distinct: set[str]) -> None:
-        """Count the pieces of pre-tokens that are not in the table."""
-        new = [p for p in distinct if p not in self]
-        if len(self) + len(new) > TABLE_ENTRIES:
-            self.clear()
-            new = list(distinct)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.update(zip(part, map(len, self.library.encode_batch_fast(part, add_special_tokens=False))))
+    def pieces(self, tokens: list[str]) -> list[int]:
+        """Number of pieces of each pre-token."""
+        return [len(e) for e in self.library.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 @lru_cache(2)
-def _counts(path: str) -> PieceCounts:
-    return PieceCounts(path)
+def _pre_tokens(path: str) -> PreTokens:
+    return PreTokens(path)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Rows in blocks of about BLOCK_CHARS characters, across batches."""
+    rows, size = [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = t.as_py()
+            n = len(text) if text is not None else 0
+            if rows and size + n > BLOCK_CHARS:
+                yield rows
+                rows, size = [], 0
+            rows.append((i, text))
+            size += n
+    if rows:
+        yield rows
+
+
+_BLOCK = pa.schema(
+    [("block", pa.int64()), ("tokens", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("ends", pa.binary()), ("places", pa.binary()), ("times", pa.binary())]
+)
+_BLOCK_DDL = "block long, tokens array<string>, ids array<long>, n_bytes array<long>, marks array<long>, ends binary, places binary, times binary"
+
+
+def _press(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(values.tobytes())
+
+
+def _unpress(data: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def count_block(texts: list[str | None], path: str) -> list[int]:
-    """Token counts of a block of texts."""
-    table = _counts(path)
-    found = [table.frequencies(t or "") for t in texts]
-    table.learn(set(chain.from_iterable(freq for freq, _ in found)))
-    return [n + sum(map(mul, map(table.__getitem__, freq), freq.values())) for freq, n in found]
+def _block_row(number: int, rows: list[tuple[int | None, str | None]], path: str) -> pa.RecordBatch:
+    """One row: distinct pre-tokens of a block, and the documents' places in that list with their frequencies."""
+    count, index = _pre_tokens(path).frequencies, {}
+    marks, ends, places, times = [], [], [], []
+    for _, text in rows:
+        found, n = count(text or "")
+        marks.append(n)
+        places.extend([index.setdefault(t, len(index)) for t in found])
+        times.extend(found.values())
+        ends.append(len(places))
+    values = {
+        "block": [number],
+        "tokens": [list(index)],
+        "ids": [[i for i, _ in rows]],
+        "n_bytes": [[len((t or "").encode()) for _, t in rows]],
+        "marks": [marks],
+        "ends": [_press(np.array(ends, np.int64))],
+        "places": [_press(np.array(places, np.uint32))],
+        "times": [_press(np.array(times, np.uint32))],
+    }
+    return pa.RecordBatch.from_pydict(values, schema=_BLOCK)
+
+
+def _blocks(docs: DataFrame, path: str) -> DataFrame:
+    """The written blocks of (doc_id, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32  # a task that runs again gives its blocks the same numbers
+        for k, rows in enumerate(_gathered(batches)):
+            yield _block_row(first + k, rows, path)
+
+    return written(docs.mapInArrow(run, _BLOCK_DDL), "token-blocks")
+
+
+def _counted(tokens: DataFrame, path: str) -> DataFrame:
+    """token, pieces: the library's count of each distinct pre-token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = _pre_tokens(path).pieces(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32())], ["token", "pieces"])
+
+    return tokens.select("token").distinct().mapInArrow(run, "token string, pieces int")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,12 +168,22 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     that stand in a text (such as an end mark) are one token each.
     """
     path = vocabulary or default_vocabulary()
-
-    def work(ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": count_block(texts, path)}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    return map_texts(id_and_text(docs, id_col, text_col), work, schema, "doc_id long, n_bytes long, n_tokens long")
+    blocks = _blocks(id_and_text(docs, id_col, text_col), path)
+    tokens = blocks.select("block", F.posexplode("tokens").alias("place", "token"))
+    answers = tokens.join(_counted(tokens, path), "token").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).alias("counts"))
+    whole = blocks.drop("tokens").join(answers, "block", "left").select(*[f.name for f in _BLOCK if f.name != "tokens"], F.col("counts.pieces").alias("pieces"))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                pieces = np.array(row["pieces"].as_py() or [], np.int64)
+                sums = np.concatenate([[0], np.cumsum(pieces[_unpress(row["places"].as_py(), np.uint32)] * _unpress(row["times"].as_py(), np.uint32).astype(np.int64))])
+                ends = _unpress(row["ends"].as_py(), np.int64)
+                n_tokens = np.diff(sums[np.concatenate([[0], ends])]) + np.array(row["marks"].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([row["ids"].values, row["n_bytes"].values, pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    return whole.mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
 
 
 def token_report(docs: DataFrame, limit: int = 512, vocabulary: str | None = None) -> DataFrame:

@@ -313,6 +313,43 @@ def test_url_rules_and_reputation_equal_sql(spark):
     assert by[25].verdict == "block" and by[101].verdict == "allow"
 
 
+def test_registered_domains(spark, nothing):
+    hosts = {"a.b.example.co.uk": "co.uk example.co.uk", "me.github.io": "github.io me.github.io", "x.y.com.mx": "com.mx y.com.mx", "shop.example.com": "com example.com", "com": "com com",
+             "github.io": "github.io github.io", "u:p@www.example.org:8080": "org example.org", "example.org.": "org example.org", "10.0.0.1:80": "10.0.0.1 10.0.0.1", "[::1]:8080": "[::1] [::1]",
+             "a.b.c.ck": "c.ck b.c.ck", "www.ck": "ck www.ck", "": " ", "b.city.own.test": "own.test city.own.test"}
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: f"{r.suffix} {r.domain}" for r in urls.with_domains(frame, [*urls.SUFFIXES, "// a comment", "", "own.test"]).collect()}
+    assert got == hosts
+
+
+def test_url_tables_without_rows_and_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://x.example.org/fr/", "h", "b", 1, 2), (None, None, None, None, None, None)], "page_id long, url string, host string, bad string, n int, suffix int")
+    labels = spark.createDataFrame([(1, 1, 0, "x")], "doc_id long, quality int, toxic int, host string")
+    for marks in (labels, labels.limit(0)):
+        got = sorted(urls.judge_urls(pages, marks).collect(), key=str)
+        assert [(r.page_id, r.host, r.rule, r.verdict) for r in got] == [(1, "x.example.org", "org/fr/", "allow"), (None, "", None, "allow")]
+    assert urls.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
+    """Nulls, repeats, long texts and columns with the operators' own names; and no rows at all."""
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    extra = awkward.selectExpr("*", "'b' as base", "'m' as more", "'f' as found", "1 as n", "'r' as `row`", "'x' as `__gone`", "'y' as `__leaked`")
+    extra.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs = extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, f"{tmp_path}/a").toArrow(), docs.schema)
+        assert docs.columns == extra.columns, name
+    assert 0 < docs.count() < extra.count()
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert Counter(r.decoded_sha256 for r in got) == Counter(sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    nothing.write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline
 
