@@ -25,6 +25,8 @@ from ._batches import id_and_text, map_texts
 #: Entries of the merge cache of one Python worker; it is emptied beyond that.
 CACHE_ENTRIES = 150_000
 BLOCK = 128
+#: The pre-token pattern that the automaton follows; fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # White space of the Unicode property White_Space (fixed values).
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -233,8 +235,11 @@ def _pieces(path: str) -> list[bytes]:
 
 
 def default_ranks() -> str:
+    """The ranks that belong to PATTERN; another pattern needs another automaton."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the vocabulary's pre-token pattern is not the one that the automaton follows")
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

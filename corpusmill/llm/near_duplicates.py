@@ -333,4 +333,4 @@ def _contracted(links: DataFrame, comp: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = WORDS) -> DataFrame:
     """The rows of `docs`, with all their columns, without documents that are not the first of their component."""
     gone = near_duplicates(docs, percent, n).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == gone["__gone"], "left_anti")
