@@ -34,11 +34,11 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_CHARS) -> Iterato
             yield ids, texts
 
 
-def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Run `work(ids, texts) -> columns` over (doc_id, text) rows, batch by batch, without a shuffle."""
+def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: pa.Schema, ddl: str, limit: int = STEP_CHARS) -> DataFrame:
+    """Run `work(ids, texts) -> columns` over (doc_id, text) rows, about `limit` characters at a time, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in steps(batches):
+        for ids, texts in steps(batches, limit):
             yield pa.RecordBatch.from_pydict(work(ids, texts), schema=schema)
 
     return docs.mapInArrow(run, ddl)

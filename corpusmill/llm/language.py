@@ -27,6 +27,8 @@ CALIBRATION = 5
 WINDOWS, WINDOW_CHARS = 3, 240
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 8, 0.1
 LENGTHS = (1, 2, 3)
+#: Characters that are scored at a time.
+SCORED_CHARS = 300_000
 #: Share of correct predictions that the rejection threshold keeps on the calibration part.
 KEEP_CORRECT = 0.995
 UNKNOWN = "und"
@@ -227,11 +229,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         return model
 
     def score(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("logits", pa.list_(pa.float32()))])
         for batch in batches:
-            logits, some = model.logits(batch.column(1).to_pylist())
-            keep = np.flatnonzero(some & np.isin(batch.column(2).to_pylist(), model.languages))
-            rows = [logits[k].astype(np.float32) for k in keep]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(keep)), "lang": batch.column(2).take(pa.array(keep)), "logits": pa.array(rows, pa.list_(pa.float32()))})
+            for k in range(batch.num_rows):  # one whole text at a time
+                logits, some = model.logits([batch.column(1)[k].as_py()])
+                if some[0] and batch.column(2)[k].as_py() in model.languages:
+                    yield pa.RecordBatch.from_pydict({"doc_id": [batch.column(0)[k].as_py()], "lang": [batch.column(2)[k].as_py()], "logits": [logits[0].astype(np.float32)]}, schema=schema)
 
     got = sample.filter("calibration").select("doc_id", "text", "lang").mapInArrow(score, "doc_id long, lang string, logits array<float>").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["logits"].to_pylist()))
@@ -253,7 +256,7 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
         return {"doc_id": ids, "lang_pred": lang, "score": score, "accepted": ok}
 
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
-    return map_texts(id_and_text(docs, id_col, text_col), work, schema, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_texts(id_and_text(docs, id_col, text_col), work, schema, "doc_id long, lang_pred string, score double, accepted boolean", SCORED_CHARS)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
