@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, prefix_sums
+
 
 def fixed_windows(docs: DataFrame, size: int = 1000, overlap: int = 100, text_col: str = "text") -> DataFrame:
     """doc_id, seq, start, chunk: windows of `size` characters; the last is the first to reach the end.
 
-    A null or empty text has no window.
+    A null or empty text has no window. The text is cut once into pieces of a step, of which windows are made, so cost is
+    linear in the text.
     """
     step = max(1, size - overlap)
     n = F.length(text_col)
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    rows = docs.filter(n > 0).select("doc_id", text_col, F.explode(F.sequence(F.lit(0), last)).alias("seq"))
-    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), (F.col("seq") * step).cast("long").alias("start"), F.substring(text_col, F.col("seq") * step + 1, F.lit(size)).alias("chunk"))
+    pieces = F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    span = -(-size // step)
+    windows = let(
+        F.struct(pieces.alias("p"), last.alias("last")),
+        lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda k: F.substring(F.array_join(F.slice(x["p"], k + 1, F.lit(span)), ""), 1, size)),
+    )
+    rows = docs.filter(n > 0).select("doc_id", F.posexplode(windows).alias("seq", "chunk"))
+    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), (F.col("seq") * step).cast("long").alias("start"), "chunk")
 
 
 def _pack(blocks: Column, longest: int, glue: str = "\n\n") -> Column:
@@ -69,14 +78,8 @@ def line_blocks(docs: DataFrame, separator: str = "\n", text_col: str = "text")
     Places are running sums inside the row, so nothing is shuffled.
     """
     parts = F.filter(F.transform(F.split(text_col, separator), lambda b: F.regexp_replace(b, _EDGES, "")), lambda b: b != "")
-    # one pass gathers the ends of all parts
-    ends = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<long>").alias("ends"), F.lit(0).cast("long").alias("at")),
-        lambda acc, b: F.struct(F.concat(acc["ends"], F.array(acc["at"] + F.length(b))).alias("ends"), (acc["at"] + F.length(b) + 2).alias("at")),
-        lambda acc: acc["ends"],
-    )
-    rows = docs.select("doc_id", parts.alias("parts"), ends.alias("ends"))
+    placed = let(parts, lambda p: F.struct(p.alias("parts"), F.transform(prefix_sums(F.transform(p, lambda b: F.length(b) + 2)), lambda e: (e - 2).cast("long")).alias("ends")))
+    rows = docs.select("doc_id", placed.alias("x")).select("doc_id", "x.parts", "x.ends")
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip("parts", "ends")).alias("block", "z"))
     return rows.select("doc_id", F.col("block").cast("long").alias("block"), (F.col("z.ends") - F.length("z.parts")).alias("start"), F.col("z.ends").alias("end"), F.col("z.parts").alias("text"))
 

@@ -51,9 +51,9 @@ def clean(docs: DataFrame, rules: tuple[str, ...] = ("page-numbers", "whitespace
 
 
 def custom(pattern: str, replacement: str):
-    """A rule of the user's: a pattern (case ignored, lines on their own) and a replacement with groups as backslash and digit."""
+    """A rule of the user's: a pattern (case ignored, Unicode classes, lines on their own) and a replacement with groups as backslash and digit."""
     groups = re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))
-    return lambda t: F.regexp_replace(t, F.lit(f"(?im){pattern}"), F.lit(groups))
+    return lambda t: F.regexp_replace(t, F.lit(f"(?imU){pattern}"), F.lit(groups))
 
 
 def audit(before: Column, after: Column) -> Column:

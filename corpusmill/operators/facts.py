@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.text import normalized
 from ..sources.shared import written
 from .graph import leakage_groups
-from .reports import DETECTORS
+from .reports import DETECTORS, message_rejects
 from .similarity import similar_pairs
 
 # Thresholds at which near-duplicate clusters are previewed, in millionths.
@@ -71,6 +74,19 @@ def crossing_facts(records: DataFrame) -> DataFrame:
     return _long(rows, {("crossing-targets", ""): F.sum(F.col("both").cast("long"))})
 
 
+def encoder(count: Callable[[str], int]) -> Callable[[str], Column]:
+    """A tokenizer's count as a column function: Arrow batches, null texts as empty. A negative count is an error."""
+
+    @F.pandas_udf(LongType())
+    def encode(texts: pd.Series) -> pd.Series:
+        out = texts.map(lambda t: count(t or ""))
+        if (out < 0).any():
+            raise ValueError("a token count is negative")
+        return out
+
+    return lambda column: encode(F.col(column))
+
+
 def token_facts(records: DataFrame, count: Column, max_tokens: int) -> DataFrame:
     """name, key, value: a histogram of token counts of included records, and how many exceed the limit."""
     rows = records.filter("status = 'included'").groupBy(count.cast("long").alias("tokens")).agg(F.count(F.lit(1)).alias("value"))
@@ -96,6 +112,11 @@ def family_facts(rows: DataFrame) -> DataFrame:
     return _long(rows, direct).unionByName(_long(ranks, {("ranking-ties", ""): F.sum(F.col("n") - 1)}))
 
 
+def role_facts(turns: DataFrame) -> DataFrame:
+    """name, key, value: conversations of two turns that are not a user's and an assistant's."""
+    return _long(message_rejects(turns), {("malformed-roles", ""): F.sum((F.col("reason") == "role-order").cast("long"))})
+
+
 def near_duplicate_preview(rows: DataFrame, id_col: str, text_col: str, thresholds: tuple[int, ...] = PREVIEW_PPM) -> DataFrame:
     """name, key (threshold), value: clusters of two members or more, and their members.
 
@@ -153,3 +174,14 @@ def review_queue(decisions: DataFrame, candidates: DataFrame | None = None) -> D
 def ocr_action(mean: Column, least: Column) -> Column:
     """What to do with a recognised page by the confidence of its words: none, review; least under 30, refuse; mean under 60, review; under 80, warn."""
     return F.when(mean.isNull(), "review").when(least < 30, "refuse").when(mean < 60, "review").when(mean < 80, "warn").otherwise("accept")
+
+
+def ocr_pages(words: DataFrame) -> DataFrame:
+    """page, mean, least, words, action over recognised words (page, level, conf, text); pages without a word stay, for review.
+
+    A word has level 5, a confidence of 0 or more and a text that is not blank.
+    """
+    real = (F.col("level") == 5) & (F.col("conf") >= 0) & (F.trim("text") != "")
+    conf = F.when(real, F.col("conf"))
+    pages = words.groupBy("page").agg(F.avg(conf).alias("mean"), F.min(conf).alias("least"), F.count(conf).alias("words"))
+    return pages.withColumn("action", ocr_action(F.col("mean"), F.col("least")))

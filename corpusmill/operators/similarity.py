@@ -13,11 +13,13 @@ def similar_pairs(rows: DataFrame, id_col: str, text_col: str, threshold_ppm: in
 
     Shingles are ordered by how rare they are; a similar pair shares one in a prefix of each set, so only
     prefixes are joined. Common shingles behind the last one seen in both prefixes are at most as many as the shorter
-    rest has, so a pair that cannot reach the threshold is dropped before its sets are fetched.
+    rest has, so a pair that cannot reach the threshold is dropped before its sets are fetched. Shingles are joined by
+    64-bit hashes (equal hashes of different ones only add candidates); similarities are counted on the shingles themselves.
     """
     sets = rows.select(F.col(id_col).alias("id"), char_shingles(normalized(F.col(text_col))).alias("s")).filter(F.size("s") > 0)
-    counts = sets.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = sets.select("id", F.explode("s").alias("g")).join(counts, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    hashed = sets.select("id", F.explode(F.transform("s", lambda g: F.xxhash64(g))).alias("g"))
+    counts = hashed.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = hashed.join(counts, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     size = F.size("o")
     prefix = (size - F.ceil(size * F.lit(threshold_ppm).cast("long") / 1_000_000) + 1).cast("int")
     keyed = ranked.select("id", size.alias("n"), F.posexplode(F.slice("o", F.lit(1), prefix)).alias("at", "p")).select("id", "n", "at", F.col("p.g").alias("g"))

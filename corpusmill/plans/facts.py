@@ -68,12 +68,12 @@ _GATE_ROWS = ", ".join(f"('{g}', '{n}', '{k}', {t})" for g, (n, k, t) in facts.G
 
 @query(
     _FACTS
-    + f"""SELECT gate, coalesce(sum(value), 0)::BIGINT AS observed, coalesce(sum(value), 0) >= least_value AS reached
+    + f"""SELECT gate, sum(value)::BIGINT AS observed, sum(value) >= least_value AS reached
 FROM (VALUES {_GATE_ROWS}) v(gate, n, k, least_value) LEFT JOIN facts ON name = n AND key = k GROUP BY gate, least_value"""
 )
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates on the facts of `quality_facts` alone; those of other facts say 0, as in the SQL. `report_gates` has all facts."""
-    return facts.gates(_facts(spark, sf_dir)).select("gate", F.coalesce("observed", F.lit(0)).alias("observed"), F.coalesce("reached", F.lit(False)).alias("reached"))
+    """Gates on the facts of `quality_facts` alone, null for other facts. `report_gates` has all of them."""
+    return facts.gates(_facts(spark, sf_dir))
 
 
 @query(
@@ -92,22 +92,30 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.review_queue(curation.curate(_records(spark, sf_dir)))
 
 
-def _family_facts_of(rows: DataFrame) -> DataFrame:
-    """Family facts of rows (label, item): the label is also the rank, and no row has tools or feedback."""
-    none = {c: F.lit(None).cast("string") for c in ("tool_name", "tool_role", "feedback")}
-    return facts.family_facts(rows.withColumn("rank", F.col("label")).withColumns(none).withColumn("paired", F.lit(False)))
+def _family_facts_of(rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """Family facts of rows (label, item), whose label is also the rank, and of turns: late ones name a tool, even ones its role; answers are feedback, the second turn's is paired."""
+    text = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    labelled = rows.select("label", "item", F.col("label").alias("rank"), *text("tool_name", "tool_role", "feedback"), F.lit(False).alias("paired"))
+    told = [F.when(F.col("turn") >= 2, F.col("role")).alias("tool_name"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("tool_role"), F.when(F.col("role") == "assistant", "x").alias("feedback")]
+    return facts.family_facts(labelled.unionByName(turns.select(*text("label", "item", "rank"), *told, (F.col("turn") == 1).alias("paired"))))
+
+
+_TURN_FACTS = """SELECT unnest(['tool-role-gaps', 'unpaired-feedback', 'malformed-roles']) AS name, '' AS key,
+    unnest([count(*) FILTER (turn >= 2 AND turn % 2 = 1 AND coalesce(role, '') <> ''), count(*) FILTER (role = 'assistant' AND turn IS DISTINCT FROM 1),
+      (SELECT count(*) FROM (SELECT count(*) AS n, arg_min(role, turn) AS a, arg_max(role, turn) AS b FROM conversations GROUP BY conv_id) WHERE n = 2 AND (a IS DISTINCT FROM 'user' OR b IS DISTINCT FROM 'assistant'))]) AS value FROM conversations"""
 
 
 @query(
-    """SELECT name, '' AS key, value::BIGINT AS value FROM (
-  SELECT unnest(['missing-labels', 'singleton-label-set', 'tool-role-gaps', 'unpaired-feedback']) AS name,
-    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT, 0, 0]) AS value FROM labels
+    f"""SELECT name, '' AS key, value::BIGINT AS value FROM (
+  SELECT unnest(['missing-labels', 'singleton-label-set']) AS name,
+    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT]) AS value FROM labels
+  UNION ALL SELECT name, value FROM ({_TURN_FACTS}) WHERE name <> 'malformed-roles'
   UNION ALL SELECT 'ranking-ties', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY source, quality))"""
 )
 def family_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("item"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("label"))
-    return _family_facts_of(labels.join(docs, "doc_id", "left"))
+    return _family_facts_of(labels.join(docs, "doc_id", "left"), read_table(spark, sf_dir, "conversations"))
 
 
 @query(
@@ -160,8 +168,9 @@ def similar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(_targets(spark, sf_dir), "record_id", "target")
 
 
-_FAMILY = """SELECT unnest(['missing-labels', 'singleton-label-set', 'tool-role-gaps', 'unpaired-feedback']), '',
-    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT, 0, 0]) FROM labels JOIN inside ON doc_id = record_id
+_FAMILY = f"""SELECT unnest(['missing-labels', 'singleton-label-set']), '',
+    unnest([count(*) FILTER (quality IS NULL), (count(DISTINCT quality) = 1)::BIGINT]) FROM labels JOIN inside ON doc_id = record_id
+  UNION ALL {_TURN_FACTS}
   UNION ALL SELECT 'ranking-ties', '', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM labels JOIN inside ON doc_id = record_id WHERE quality IS NOT NULL GROUP BY source, quality)"""
 _REPORT = _TARGETS + ", facts(name, key, value) AS (\n" + " UNION ALL ".join([_DISTRIBUTIONS, _HITS, _CROSSING, _TOKENS, _NEAR_FACTS, _FAMILY]) + ")\n"
 
@@ -172,10 +181,11 @@ _REPORT = _TARGETS + ", facts(name, key, value) AS (\n" + " UNION ALL ".join([_D
 FROM (VALUES {_GATE_ROWS}) v(gate, n, k, least_value) LEFT JOIN facts ON name = n AND key = k GROUP BY gate, least_value"""
 )
 def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All gates on the facts of the included records, with near-duplicate and family facts; null where no fact is computed (roles)."""
+    """All gates on the facts of the included records, with near-duplicate, family and role facts."""
     rows = _judged(spark, sf_dir)
     inside = rows.filter("status = 'included'")
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("label"))
     near = facts.near_duplicate_preview(inside.select("record_id", "target"), "record_id", "target")
-    family = _family_facts_of(labels.join(inside.select("record_id", F.col("source").alias("item")), "record_id"))
-    return facts.gates(_facts_of(rows).unionByName(near).unionByName(family))
+    turns = read_table(spark, sf_dir, "conversations")
+    family = _family_facts_of(labels.join(inside.select("record_id", F.col("source").alias("item")), "record_id"), turns)
+    return facts.gates(_facts_of(rows).unionByName(near).unionByName(family).unionByName(facts.role_facts(turns)))

@@ -217,4 +217,5 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.blocks(read_table(spark, sf_dir, "pages"))
 
 
-from . import facts, rows, segments  # noqa: E402, F401 (they register their queries)
+from . import facts, rows, segments  # noqa: E402, F401, I001 (they register their queries)
+from . import checks, lineage, previews  # noqa: E402, F401

@@ -44,15 +44,68 @@ def row_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT unnest(["
-    + ", ".join(f"'{d}'" for d in mapping.DETECTORS)
-    + "]) AS detector, unnest(["
-    + ", ".join("true" if paths in (("text",),) else "false" for paths in mapping.DETECTORS.values())
-    + "]) AND (SELECT bool_and(text IS NOT NULL) FROM documents) AS proposed"
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS label FROM documents),
+flags(row_schema, proposed) AS (SELECT 'text', bool_and(text <> '') FROM documents UNION ALL SELECT 'label-classification', bool_and(text <> '' AND label <> '') FROM documents JOIN d USING (doc_id)
+  UNION ALL SELECT 'preference-pair', bool_and(text <> '' AND lang <> '' AND source <> '') FROM documents)
+SELECT detector, row_schema, coalesce(proposed, false) AS proposed FROM (VALUES """
+    + ", ".join(f"('{d}', '{s}')" for d, (s, _) in mapping.DETECTORS.items())
+    + ") v(detector, row_schema) LEFT JOIN flags USING (row_schema)"
 )
 def detected_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").select(F.to_json(F.struct("text", "lang")).alias("payload"))
-    return mapping.detect(rows, "payload")
+    """Documents as rows with the keys of three schemas; labels are blank in every other row."""
+    text = F.col("text")
+    fields = F.struct(text.alias("text"), text.alias("context"), F.when(F.col("doc_id") % 2 == 0, text).otherwise("").alias("label"), F.lit("me").alias("annotator"), text.alias("prompt"), F.col("lang").alias("chosen"), F.col("source").alias("rejected"))
+    return mapping.detect(read_table(spark, sf_dir, "documents").select(F.to_json(fields).alias("payload")), "payload")
+
+
+_CODES = ["NULL", "'missing-source-path'", "'invalid-mapped-fields'", "'non-string-value'", "'empty-required-string'", "'unmapped-keys'", "'invalid-partition'", "NULL"]
+
+
+@query(
+    f"""SELECT reason_code, count(*) AS n FROM (SELECT CASE doc_id % 8 {" ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(_CODES))} END AS reason_code FROM documents WHERE text <> '') GROUP BY 1"""
+)
+def pointer_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows that are read by pointers with an index, a quote and a slash in keys, spoilt in six ways."""
+    kind, text = F.col("doc_id") % 8, F.to_json(F.array("text"))
+    asked = F.when(kind == 1, F.lit("[]")).when(kind == 2, F.lit('"a word"')).when(kind == 3, F.lit("[7]")).when(kind == 4, F.lit('[""]')).when(kind == 7, F.concat(F.lit('{"0":'), F.substring(text, 2, F.length(text) - 2), F.lit("}"))).otherwise(text)
+    side = F.when(kind == 6, "dev").when(kind == 0, "train").otherwise("evaluation")
+    payload = F.concat(F.lit('{"q":'), asked, F.lit(""","it's/a":"yes","partition":\""""), side, F.lit('"'), F.when(kind == 5, ',"more":1').otherwise(""), F.lit("}"))
+    rows = read_table(spark, sf_dir, "documents").filter("text <> ''").select(payload.alias("payload"))
+    return mapping.rejections(rows, "payload", {"prompt": "/q/0", "completion": "/it's~1a"}, "proposed")
+
+
+@query(
+    f"""SELECT reason_code, count(*) AS n FROM (SELECT CASE conv_id % 6 WHEN 1 THEN 'invalid-messages' WHEN 2 THEN 'invalid-messages' WHEN 3 THEN 'empty-required-string' WHEN 4 THEN 'missing-source-path' WHEN 5 THEN 'invalid-messages' END AS reason_code
+  FROM ({_EXCHANGES}) WHERE prompt <> '' AND completion <> '') GROUP BY 1"""
+)
+def message_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges as message rows: as they are, with swapped roles, as a text, with an empty answer, without the key, and with a third key in a turn."""
+    kind = F.col("conv_id") % 6
+    user, other = F.when(kind == 1, "assistant").otherwise("user"), F.when(kind == 1, "user").otherwise("assistant")
+    turns = F.array(F.struct(user.alias("role"), F.col("prompt").alias("content"), F.when(kind == 5, 1).alias("at")), F.struct(other.alias("role"), F.when(kind == 3, "").otherwise(F.col("completion")).alias("content"), F.lit(None).cast("int").alias("at")))
+    payload = F.when(kind == 2, F.to_json(F.struct(F.col("prompt").alias("messages")))).when(kind == 4, "{}").otherwise(F.to_json(F.struct(turns.alias("messages"))))
+    rows = _exchanges(spark, sf_dir).filter("prompt <> '' and completion <> ''").select(payload.alias("payload"))
+    return mapping.rejections(rows, "payload", {"messages": "messages"}, row_schema="messages")
+
+
+@query(
+    """SELECT event_id, json_extract_string(props, '$.k') AS value, 'identity-string' AS encoding FROM events WHERE json_type(json_extract(props, '$.k')) = 'VARCHAR'
+UNION ALL SELECT event_id, json_extract(props, '$.k')::VARCHAR, 'json-scalar-v1' FROM events WHERE json_type(json_extract(props, '$.k')) IN ('BIGINT', 'UBIGINT', 'BOOLEAN', 'NULL')"""
+)
+def strict_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").select("event_id", mapping.strict_scalar(F.col("props"), "/k").alias("s"))
+    return events.filter("s is not null").select("event_id", "s.value", "s.encoding")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, to_json({'text': text})::VARCHAR AS payload, text FROM documents)
+SELECT doc_id, CASE WHEN text = '' THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN text = '' THEN 'empty-required-string' END AS reason_code,
+  sha256(CASE WHEN text <> '' AND strlen(payload) <= 4096 THEN payload ELSE '' END) AS sample_sha256, CASE WHEN text <> '' AND strlen(payload) > 4096 THEN 'sample-exceeds-4096-bytes' END AS omission FROM p WHERE text IS NOT NULL"""
+)
+def mapping_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.to_json(F.struct("text")).alias("payload"))
+    seen = mapping.preview(docs, "payload", {"text": "text"}, "text", limit=4096)
+    return digest(seen.select("doc_id", "status", "reason_code", "omission", F.coalesce("sample", F.lit("")).alias("sample")), "sample")
 
 
 @query(f"SELECT conv_id, sha256(to_json({{'conversations': [{{'from': 'human', 'value': prompt}}, {{'from': 'gpt', 'value': completion}}]}})) AS row_sha256 FROM ({_EXCHANGES})")
@@ -110,8 +163,9 @@ def partition_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH o AS ({ORACLE_SQL['partition_ordinals']}),
 p AS (SELECT partition, ordinal, ordinal // 65536 AS g, sha256(to_json({{'text': text}})) AS d FROM o JOIN documents ON doc_id = record_id),
-i AS (SELECT partition, g, sha256(string_agg(d, '' ORDER BY ordinal)) AS d, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT partition, sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY g)) AS fingerprint FROM i GROUP BY 1"""
+i AS (SELECT partition, g, sha256(string_agg(d, '' ORDER BY ordinal)) AS d, count(*) AS n FROM p GROUP BY 1, 2),
+k AS (SELECT partition, g // 65536 AS h, sha256(string_agg(d, '' ORDER BY g)) AS d, sum(n) AS n FROM i GROUP BY 1, 2)
+SELECT partition, sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY h)) AS fingerprint FROM k GROUP BY 1"""
 )
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), mapping.payload_json("text", F.lit(""), F.col("text")).alias("payload"))

@@ -58,8 +58,12 @@ _LINK = re.compile(r"(!?)\[([^\]\[]*)\]\(\s*<?([^\s)>]*)>?(?:\s+\"[^\"]*\")?\s*\
 _ATTRIBUTES = re.compile(r"\s*\{[#.][^{}]*\}\s*$")
 
 
+_CITATION = re.compile(r"\[@([A-Za-z0-9_][A-Za-z0-9_:.#$%&+?<>~/-]*)(?:,\s*[^\]]*)?\]")
+_IMAGE = re.compile(r"!\[([^\]]*)\]\(\s*<?([^\s)>]*)>?(?:\s+\"[^\"]*\")?\s*\)$")
+
+
 def _inline(text: str) -> tuple[str, list[str]]:
-    """Readable text of inline Markdown, and the targets of its links; code spans are taken as they are."""
+    """Readable text of inline Markdown, and the targets of its links and the keys of its citations (as @key); code spans are taken as they are."""
     links: list[str] = []
     spans: list[str] = []
 
@@ -74,6 +78,7 @@ def _inline(text: str) -> tuple[str, list[str]]:
 
     text = re.sub(r"(`+)(.+?)\1(?!`)", keep, text.replace("\0", ""))
     text = _LINK.sub(link, text)
+    links += [f"@{m.group(1)}" for m in _CITATION.finditer(text)]
     for mark in (r"\*\*", "__", "~~", r"\*", r"(?<!\w)_", r"\^", "~"):
         close = r"_(?!\w)" if mark.endswith("_") and mark != "__" else mark
         text = re.sub(rf"{mark}(?=\S)([^\n]*?\S)(?<!\\){close}" if mark not in (r"\^", "~") else rf"(?<!\[){mark}([^\s^~\]\[]+){mark}", r"\1", text)
@@ -103,7 +108,10 @@ def parse_markdown(data: bytes, region: str = "body") -> list[dict]:
     open_lines: list[str] = []
 
     def flush() -> None:
-        if open_lines:
+        if open_lines and (image := _IMAGE.match(_paragraph(open_lines).strip())):  # a paragraph of one image is an image
+            out.append(_block("image", image.group(1), links=[image.group(2)], region=region))
+            open_lines.clear()
+        elif open_lines:
             text, links = _inline(_paragraph(open_lines))
             if text.strip():
                 out.append(_block("paragraph", text.strip(), links=links, region=region))
@@ -157,11 +165,17 @@ def parse_markdown(data: bytes, region: str = "body") -> list[dict]:
             out.append(_block("quote", nested(body), region=region))
         elif _ITEM.match(line) and (not open_lines or not _ITEM.match(line).group(2) or _ITEM.match(line).group(2) == "1"):
             flush()
-            items, links = [], []
+            items, links, depths = [], [], []
             while k < len(lines) and ((item := _ITEM.match(lines[k])) or (lines[k].strip() and lines[k].startswith(" "))):
-                text, found = _inline(_TASK.sub("", item.group(3), count=1) if item else lines[k].strip())
+                task = _TASK.match(item.group(3)) if item else None
+                text, found = _inline(item.group(3)[task.end() :] if task else item.group(3) if item else lines[k].strip())
                 if item:
-                    items.append(text)
+                    # an item is nested below the items that begin further left; a task keeps its mark
+                    depth = len(item.group(1))
+                    while depths and depths[-1] >= depth:
+                        depths.pop()
+                    depths.append(depth)
+                    items.append("  " * (len(depths) - 1) + (f"[{task.group(1).lower()}] " if task else "") + text)
                 else:
                     items[-1] += f" {text}"
                 links += found
@@ -360,8 +374,17 @@ def _docx_blocks(parent: ElementTree.Element, region: str) -> list[dict]:
             text = _run_text(node).strip()
             level = 1 if name == "title" else int(name[7:]) if re.fullmatch(r"heading[1-9]", name) else None
             listed = node.find(f"{_W}pPr/{_W}numPr/{_W}numId")
+            field = "".join(t.text or "" for t in node.iter(f"{_W}instrText")) + "".join(f.get(f"{_W}instr") or "" for f in node.iter(f"{_W}fldSimple"))
+            if re.match(r"\s*TOC\b", field) or re.fullmatch(r"toc[0-9]+", name):
+                continue  # a table of contents repeats the headings
+            if not text and node.find(f"{_W}pPr/{_W}pBdr/{_W}bottom") is not None:
+                out.append(_block("rule", "", region=region))
+                continue
+            depth = node.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
             kind = "heading" if level else "code" if "code" in name else "quote" if "quote" in name else "list" if listed is not None or name.startswith("list") else "paragraph"
             key = (kind, listed.get(f"{_W}val") if listed is not None else name)
+            if kind == "list" and depth is not None:
+                text = "  " * min(int(depth.get(f"{_W}val") or 0), 8) + text
             if kind in ("code", "quote", "list") and out and out[-1].get("key") == key:
                 out[-1]["text"] += ("\n\n" if kind == "quote" else "\n") + text
             elif text or kind == "heading":

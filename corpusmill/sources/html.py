@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import prefix_sums
+
 #: What carries no text of the page.
 SKIPPED = r"(?is)<(?:script|style|noscript|template|svg|canvas|iframe|object)[ >].*?</(?:script|style|noscript|template|svg|canvas|iframe|object)>|<!--.*?-->"
 BLOCK = r"(?is)<(?:h[1-6]|p|li|blockquote|pre|td|th)(?:\s[^>]*)?>.*?</(?:h[1-6]|p|li|blockquote|pre|td|th)>"
@@ -30,7 +32,8 @@ def blocks(pages: DataFrame) -> DataFrame:
     found = F.filter(F.transform(raw, read), lambda b: b["text"] != "")
     rows = pages.select("page_id", found.alias("b"))
     # headings up to each block, counted inside the row: no window over pages
-    numbered = F.transform("b", lambda x, i: F.struct(x["level"].alias("level"), F.size(F.filter(F.slice("b", F.lit(1), i + 1), lambda y: y["level"] > 0)).alias("section"), x["text"].alias("text")))
+    counts = prefix_sums(F.transform("b", lambda x: (x["level"] > 0).cast("int")))
+    numbered = F.zip_with("b", counts, lambda x, n: F.struct(x["level"].alias("level"), n.alias("section"), x["text"].alias("text")))
     rows = rows.select("page_id", F.posexplode(numbered).alias("block", "x"))
     return rows.select("page_id", F.col("block").cast("long").alias("block"), F.col("x.level").cast("long").alias("level"), F.col("x.section").cast("long").alias("section"), F.col("x.text").alias("text"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapping import alpaca, assemble_prompt, sharegpt
+from ..operators.mapping import alpaca, assemble_prompt, reject_code, sharegpt
 
 #: Rows whose digests one group gathers; groups are then bounded whatever the table's size.
 FINGERPRINT_ROWS = 65_536
@@ -21,13 +21,14 @@ def _from_digests(digests: DataFrame) -> DataFrame:
     group = F.floor(F.col("ordinal") / FINGERPRINT_ROWS).alias("g")
     ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]), "")
     inner = digests.select("partition", group, "ordinal", F.col("payload_sha256").alias("d")).groupBy("partition", "g").agg(F.sha2(ordered("ordinal", "d"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    inner = inner.withColumn("h", F.floor(F.col("g") / FINGERPRINT_ROWS)).groupBy("partition", "h").agg(F.sha2(ordered("g", "d"), 256).alias("d"), F.sum("n").alias("n")).withColumnRenamed("h", "g")
     return inner.groupBy("partition").agg(F.sum("n").alias("rows"), F.sha2(ordered("g", "d"), 256).alias("fingerprint"))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """partition, rows, fingerprint for rows (partition, ordinal, payload): a digest of all payloads in order.
 
-    Digests are gathered in groups of 65,536 consecutive ordinals, and the digests of the groups after that.
+    Digests are gathered in groups of 65,536 consecutive ordinals, those of the groups likewise, and theirs after that.
     """
     return _from_digests(rows.select("partition", "ordinal", F.sha2("payload", 256).alias("payload_sha256")))
 
@@ -58,8 +59,8 @@ def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_arrow(rows: DataFrame, path: str) -> None:
-    """One uncompressed Arrow IPC file for each task, in a folder that all executors reach.
+def write_arrow(rows: DataFrame, path: str, stream: bool = False) -> None:
+    """One uncompressed Arrow IPC file (or stream) for each task, in a folder that all executors reach.
 
     A task writes under a name of its own attempt and renames it at the end, so a task that is run again replaces its file whole.
     """
@@ -72,7 +73,7 @@ def write_arrow(rows: DataFrame, path: str) -> None:
         for batch in batches:
             if writer is None:
                 os.makedirs(path, exist_ok=True)
-                writer = pa.ipc.new_file(f"{name}.{context.taskAttemptId()}", batch.schema)
+                writer = (pa.ipc.new_stream if stream else pa.ipc.new_file)(f"{name}.{context.taskAttemptId()}", batch.schema)
             writer.write_batch(batch)
             count += batch.num_rows
         if writer is not None:
@@ -110,6 +111,60 @@ def write_instructions(rows: DataFrame, path: str) -> None:
     assemble_prompt(rows).write.mode("error").partitionBy("partition").json(path)
 
 
+def write_rejections(rows: DataFrame, payload: str, fields: dict[str, str], path: str, row_schema: str | None = None, membership: str = "replaced") -> None:
+    """JSON lines of rejected rows (row_index, and the payload's digest rather than the payload) with their reason codes; refuses to replace."""
+    code = reject_code(F.col(payload), fields, membership, row_schema)
+    rows.select("row_index", code.alias("reason_code"), F.sha2(payload, 256).alias("payload_sha256")).filter("reason_code is not null").write.mode("error").json(path)
+
+
+#: Rows that one JSON document holds at most.
+DOCUMENT_ROWS = 1_000_000
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """rows (partition, ordinal, record_id, payload) as one JSON document: payloads by partition in order, and their provenance; refuses to replace.
+
+    A document is one value, so it is made in one task: more than DOCUMENT_ROWS rows are an error, for which there are JSON lines.
+    """
+    if rows.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+        raise ValueError("too many rows for one document")
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "record_id", "payload"))).alias("r")
+    sides = rows.groupBy("partition").agg(ordered).select("partition", F.array_join("r.payload", ",").alias("p"), F.to_json(F.transform("r", lambda x: F.struct(F.sha2(x["payload"], 256).alias("payload_sha256"), x["record_id"].cast("string").alias("record_id")))).alias("v"))
+    part = lambda c, open_, close: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("partition", c))), lambda s: F.concat(F.to_json(F.array(s["partition"])).substr(F.lit(2), F.length(s["partition"]) + 2), F.lit(open_), s[c], F.lit(close))), ",")
+    whole = F.concat(F.lit('{"provenance":{'), part("v", ":", ""), F.lit('},"splits":{'), part("p", ":[", "]"), F.lit("}}"))
+    sides.agg(whole.alias("value")).coalesce(1).write.mode("error").text(path)
+
+
+def write_dataset_folder(rows: DataFrame, path: str) -> None:
+    """rows (partition, ...) as a folder for dataset libraries: dataset_dict.json, and for each partition Arrow files and their description.
+
+    The description is written last; a partition without it is unfinished.
+    """
+    names = sorted(r[0] for r in rows.select("partition").distinct().limit(1000).collect())  # train and evaluation, as a rule
+    for name in names:
+        part = rows.filter(F.col("partition") == name).drop("partition")
+        write_arrow(part, f"{path}/{name}", stream=True)
+        files = sorted(f for f in os.listdir(f"{path}/{name}") if f.endswith(".arrow"))
+        info = {"features": {f.name: {"dtype": f.dataType.simpleString(), "_type": "Value"} for f in part.schema.fields}, "splits": {name: {"name": name, "num_examples": part.count()}}}
+        state = {"_data_files": [{"filename": f} for f in files], "_split": name}
+        for target, body in (("dataset_info", info), ("state", state)):
+            with open(f"{path}/{name}/{target}.json", "w", encoding="utf-8") as f:
+                json.dump(body, f, sort_keys=True)
+    with open(f"{path}/dataset_dict.json", "w", encoding="utf-8") as f:
+        json.dump({"splits": names}, f)
+
+
+def handoff(rows: DataFrame) -> str:
+    """The descriptor by which a consumer checks what it gets: rows and fingerprint of each partition, as canonical JSON."""
+    parts = {r["partition"]: {"fingerprint": r["fingerprint"], "rows": r["rows"]} for r in fingerprint(rows).limit(1000).collect()}
+    return json.dumps({"partitions": parts, "version": 1}, sort_keys=True, separators=(",", ":"))
+
+
+def consumed(rows: DataFrame, descriptor: str) -> bool:
+    """Whether the rows that a consumer read are those of the descriptor."""
+    return handoff(rows) == descriptor
+
+
 def zip_folder(folder: str, target: str) -> None:
     """A finished local export as a zip that is equal byte by byte for equal files: sorted names, fixed times, no compression."""
     if os.path.exists(target):

@@ -109,7 +109,7 @@ def test_mapping_rejects_the_first_bad_field(spark):
 
     data = [('{"a": {"b/c": ["x", "y"]}, "t": "u"}',), ('{"a": {"b/c": ["x"]}, "t": "u"}',), ('{"a": {"b/c": ["x", "y"]}, "t": ""}',)]
     got = map_rows(rows(spark, data, "payload string"), "payload", {"prompt": "/a/b~1c/1", "completion": "t"}).collect()
-    assert [(r.prompt, r.reject) for r in got] == [("y", None), (None, "missing-path:prompt"), ("y", "empty-string:completion")]
+    assert [(r.prompt, r.reject) for r in got] == [("y", None), (None, "missing-source-path"), ("y", "empty-required-string")]
 
 
 def test_keyed_hash_equals_the_standard_one(spark):

@@ -51,7 +51,7 @@ def test_markdown():
     assert kinds(blocks) == [
         ("heading", 1, "Top"),
         ("paragraph", None, "First line with a*b* and a link."),
-        ("list", None, "one\ntwo bold"),
+        ("list", None, "one\n[x] two bold"),
         ("quote", None, "quoted text"),
         ("code", None, "x = 1\n\ny = 2"),
         ("table", None, "a\tb\n1\t2\n3\t"),
@@ -65,6 +65,41 @@ def test_markdown():
     assert formats.parse_markdown(b"") == []
 
 
+def test_nested_lists_images_and_citations():
+    text = "- a\n  - b\n    1. c\n- [ ] d\n\n![alt](pic.png)\n\nSee [@doe2020, p. 3] and ![in](x.png) line.\n"
+    blocks = formats.parse_markdown(text.encode())
+    assert kinds(blocks) == [("list", None, "a\n  b\n    c\n[ ] d"), ("image", None, "alt"), ("paragraph", None, "See [@doe2020, p. 3] and in line.")]
+    assert blocks[1]["links"] == ["pic.png"] and blocks[2]["links"] == ["@doe2020"]
+
+
+def pdf_file(*pages: bytes, deflate: bool = False) -> bytes:
+    import zlib
+
+    kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages)))
+    out = f"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[{kids}]/Count {len(pages)}/Resources<</Font<</F1 3 0 R>>>>>>endobj\n3 0 obj<</Type/Font/BaseFont/Helvetica>>endobj\n".encode()
+    for k, page in enumerate(pages):
+        raw = zlib.compress(page) if deflate else page
+        head = f"<</Length {len(raw)}{'/Filter/FlateDecode' if deflate else ''}>>"
+        out += f"{10 + 2 * k} 0 obj<</Type/Page/Parent 2 0 R/Contents {11 + 2 * k} 0 R>>endobj\n{11 + 2 * k} 0 obj{head}\nstream\n".encode() + raw + b"\nendstream\nendobj\n"
+    return out + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
+def test_pdf_text_layer_and_recognised_pages(spark):
+    from corpusmill.sources import documents, pdf
+
+    one = b"BT /F1 12 Tf 72 700 Td (First \\(line\\)) Tj 0 -14 Td [(sec) -20 (ond) -400 (x)] TJ 0 -40 Td <416674> Tj ET"
+    two = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Page two) Tj ET"
+    for deflate in (False, True):
+        blocks = pdf.parse_pdf(pdf_file(one, two, deflate=deflate))
+        assert [(b["text"], b["page"]) for b in blocks] == [("First (line)\nsecond x", 1), ("Aft", 1), ("Page two", 2)]
+    blank = pdf_file(one, b"q 10 0 0 10 0 0 cm /Im1 Do Q")
+    with pytest.raises(formats.Refused, match="pdf-ocr-required"):
+        pdf.parse_pdf(blank)
+    files = spark.createDataFrame([("a.pdf", bytearray(blank)), ("b.pdf", bytearray(b"no")), ("c.pdf", bytearray(pdf_file(two)))], "path string, content binary")
+    got = documents.parse_files(files, lambda page, data: f"seen {page}").collect()
+    assert {(r.path, r.page, r.text, r.error) for r in got} == {("a.pdf", 1, "First (line)\nsecond x", None), ("a.pdf", 1, "Aft", None), ("a.pdf", 2, "seen 2", None), ("b.pdf", None, None, "not-a-pdf"), ("c.pdf", 1, "Page two", None)}
+
+
 def test_html():
     page = b"<html><head><title>no</title></head><body>out<main><h2>A &amp; b</h2><p>x<br>y <a href='/z'>z</a></p>loose<script>no</script><ul><li>i</ul></main><p>after</p></body></html>"
     assert kinds(formats.parse_html(page)) == [("heading", 2, "A & b"), ("paragraph", None, "x\ny z"), ("paragraph", None, "loose"), ("paragraph", None, "i")]
@@ -99,6 +134,9 @@ def test_docx():
     blocks = formats.parse_docx(docx(body, f'<w:footnote w:id="2">{p("below")}</w:footnote>'))
     assert kinds(blocks) == [("heading", 1, "T"), ("heading", 2, "h"), ("paragraph", None, "new[^2]"), ("list", None, "a\nb"), ("code", None, "x\ny"), ("table", None, "1\t"), ("paragraph", None, "below")]
     assert blocks[-1]["region"] == "footnote:2"
+    deep = '<w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr>'
+    more = p("a", more=number) + p("b", more=deep) + p("Contents 1", "TOC1") + "<w:p><w:r><w:instrText> TOC \\o </w:instrText></w:r></w:p>" + '<w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr></w:p>'
+    assert kinds(formats.parse_docx(docx(more))) == [("list", None, "a\n  b"), ("rule", None, "")]
     assert parse_file("a.docx", b"no")[0]["error"] == "not-a-zip"
 
 
