@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import removed, written
 from ._spans import let
 
 WORDS, SIMILARITY_PERCENT = 5, 80
@@ -197,7 +197,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     members, items = _items(benchmark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spots = _spots(docs, _places(docs, items))
+    places = _places(docs, items)
+    spots = _spots(docs, places)
+    removed(places)
     block = F.explode(F.sequence(F.lit(0), F.lit(RADIUS))).alias("block")
     left = spots.select("spot", "doc_id", "text_hash", "base", "n", "h", F.posexplode("prints").alias("shift", "f")).withColumn("start", F.col("base") + F.col("shift")).select("*", block).withColumn("value", block_value(F.col("f"), F.col("block")))
     right = items.select("item_no", "n", F.col("f").alias("g"), F.explode("anchors").alias("h")).select("*", block).withColumn("value", block_value(F.col("g"), F.col("block")))

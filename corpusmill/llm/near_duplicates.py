@@ -312,6 +312,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, id_col:
     pairs = pairs.join(tried, (F.least("hub", "other") == F.col("x")) & (F.greatest("hub", "other") == F.col("y")), "left_anti")
     links = _contracted(confirm(written(pairs, "pairs"), sets, parts, percent), comp).union(links)
     comp = written(components(links), "components")
+    for done in (members, sets, heavy):  # the result only reads signatures, representatives and components
+        removed(done)
 
     # a component is named by its smallest doc_id
     found = reps.select("fp", "rep", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
