@@ -54,6 +54,13 @@ GOALS = {
     "use-provided-tool-traces": Goal("tool_call", "provided tool trace", ("conversation-and-tool-trace",), ("delimited-table", "json-records")),
     "use-provided-steps": Goal("stepwise", "provided steps", ("prompt-and-steps",), ("delimited-table", "json-records")),
 }
+# What rows of an imported objective are kept together by, what is asked of a reviewer, and which facts watch over them.
+ADMISSIONS = {
+    "explicit_label": (("annotator", "source"), "label-conflict", ("missing-label", "singleton-label-set")),
+    "preference_pair": (("shared-prompt", "source"), "preference-inconsistency", ("ranking-tie", "unpaired-without-policy")),
+    "tool_call": (("conversation", "source"), "tool-trace-incomplete", ("tool-role-gap",)),
+    "stepwise": (("shared-prompt", "source"), "stepwise-gap", ()),
+}
 #: Parts of words that claim what no goal does.
 FORBIDDEN = ("summar", "answer", "translat")
 
@@ -69,6 +76,24 @@ def resolve(goal: str, representation: str | None = None) -> dict:
     return {"objective": GOALS[goal].objective, "row_schema": row_schema, "loss_policy": loss}
 
 
+def compatible(objective: str, row_schema: str) -> bool:
+    """Whether some goal of an objective has rows of a schema."""
+    return any(g.objective == objective and row_schema in (REPRESENTATIONS[r][0] for r in g.representations) for g in GOALS.values())
+
+
+def admitted(rows: DataFrame, objective: str) -> DataFrame:
+    """`rows` (record_id, source and the objective's own grouping column) with `refusal`: which grouping value is missing, else null.
+
+    The grouping columns are annotator, prompt (for shared-prompt) or conversation_id (for conversation).
+    """
+    columns = {"shared-prompt": "prompt", "conversation": "conversation_id"}
+    refusal = None
+    for key in ADMISSIONS[objective][0]:
+        blank = F.coalesce(F.col(columns.get(key, key)).cast("string"), F.lit("")) == ""
+        refusal = F.when(blank, f"missing-{key}") if refusal is None else refusal.when(blank, f"missing-{key}")
+    return rows.withColumn("refusal", refusal)
+
+
 def instruction_ok(instruction: Column, goal: str) -> Column:
     """Whether an instruction names the goal's task, in any case, claims nothing forbidden and has no blanks at its ends."""
     low = F.lower(instruction)

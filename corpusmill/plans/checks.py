@@ -115,6 +115,43 @@ def dataset_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.validate(rec, replay, dec, asg, rws, expected)
 
 
+_SHAPES = tuple(mapping.ROW_SCHEMAS)
+
+
+@query(
+    "SELECT row_schema, code, count(*) AS n FROM (SELECT ["
+    + ", ".join(f"'{s}'" for s in _SHAPES)
+    + "][doc_id % 8 + 1] AS row_schema, CASE WHEN doc_id % 3 = 0 THEN 'wrong-keys' WHEN doc_id % 3 = 1 THEN 'empty-required-string' END AS code FROM documents WHERE text <> '') GROUP BY 1, 2"
+)
+def payload_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all schemas against their contracts: one in three has a key too many, one in three an empty text."""
+    i, text = F.col("doc_id"), F.col("text")
+    said = F.when(i % 3 == 1, "").otherwise(text)
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    called = F.to_json(F.array(F.struct(F.lit("1").alias("id"), F.lit("f").alias("name"), F.lit("{}").alias("arguments"))))
+    trace = F.concat(F.lit("["), F.to_json(turn("user", said)), F.lit(',{"role":"assistant","content":"c","tool_calls":'), called, F.lit("},"), F.to_json(turn("assistant", text)), F.lit("]"))
+    bodies = {
+        "text": F.to_json(F.struct(said.alias("text"))),
+        "prompt_completion": F.to_json(F.struct(text.alias("prompt"), said.alias("completion"))),
+        "instruction_output": F.to_json(F.struct(F.lit("x").alias("instruction"), said.alias("input"), text.alias("output"))),
+        "messages": F.to_json(F.struct(F.array(turn("user", text), turn("assistant", said)).alias("messages"))),
+        "label-classification": F.to_json(F.struct(text.alias("context"), said.alias("label"), F.lit("me").alias("annotator"))),
+        "preference-pair": F.to_json(F.struct(text.alias("prompt"), text.alias("chosen"), said.alias("rejected"))),
+        "tool-call-conversation": F.concat(F.lit('{"conversation_id":"c","turns":'), trace, F.lit("}")),
+        "stepwise-trace": F.to_json(F.struct(text.alias("prompt"), F.array(text, said).alias("steps"))),
+    }
+    payload = code = None
+    for k, body in enumerate(bodies.values()):
+        payload = F.when(i % 8 == k, body) if payload is None else payload.when(i % 8 == k, body)
+    payload = F.when(i % 3 == 0, F.concat(F.lit('{"more":1,'), F.substring(payload, F.lit(2), F.length(payload)))).otherwise(payload)
+    rows = read_table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", payload.alias("payload"))
+    for k, s in enumerate(_SHAPES):
+        found = mapping.contract_code(F.col("payload"), s)
+        code = F.when(i % 8 == k, found) if code is None else code.when(i % 8 == k, found)
+    shape = F.get(F.array(*map(F.lit, _SHAPES)), (i % 8).cast("int"))
+    return rows.groupBy(shape.alias("row_schema"), code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- splits and sets ------------------------------------------------------------------------------------------------
 
 
@@ -321,6 +358,48 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.verify_bundle(spark, path)
 
 
+@query(f"SELECT partition, count(*) AS n, {_MARK} AS mark FROM (SELECT partition, to_json({{'text': coalesce(text, '')}}) AS payload FROM ({ORACLE_SQL['split_documents']}) JOIN documents ON doc_id = record_id) GROUP BY 1")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one JSON document, read again: rows and a checksum of each partition."""
+    docs = read_table(spark, sf_dir, "documents")
+    sides = splitting.split_groups(docs.select(F.col("doc_id").alias("record_id"), F.sha2("text", 256).alias("group_id"))).select("record_id", "partition")
+    texts = docs.select(F.col("doc_id").alias("record_id"), mapping.payload_json("text", F.lit(""), F.coalesce("text", F.lit(""))).alias("payload"))
+    path = _fresh(spark, "document")
+    sinks.write_json(splitting.ordinals(sides).join(texts, "record_id"), path)
+    splits = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.splits"), "map<string,string>")).alias("partition", "rows"))
+    rows = splits.select("partition", F.explode(F.from_json("rows", "array<string>")).alias("payload"))
+    return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), validation.checksum(F.col("payload")).alias("mark"))
+
+
+_EXCHANGES = ORACLE_SQL["alpaca_rows"].replace("sha256(x.text) AS instruction_sha256, '' AS input, sha256(y.text) AS output_sha256", "x.text AS p, y.text AS c")
+_FORMS = {
+    "axolotl": ("to_json({'instruction': p, 'input': '', 'output': c})", "evaluation"),
+    "llama-factory": ("to_json({'conversations': [{'from': 'human', 'value': p}, {'from': 'gpt', 'value': c}]})", "evaluation"),
+    "mlx": ("to_json({'prompt': p, 'completion': c})", "valid"),
+    "trl": ("to_json({'prompt': p, 'completion': c})", "test"),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS profile, CASE WHEN conv_id % 4 = 0 THEN '{held}' ELSE 'train' END AS folder, count(*) AS n, {_MARK} AS mark FROM (SELECT conv_id, {form} AS payload FROM ({_EXCHANGES}) WHERE p IS NOT NULL AND c IS NOT NULL) GROUP BY 2"
+        for name, (form, held) in _FORMS.items()
+    )
+)
+def trainer_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges in the folders of each trainer, read again: rows and a checksum of each folder."""
+    side = F.when(F.col("conv_id") % 4 == 0, "evaluation").otherwise("train")
+    rows = mapping.first_exchanges(read_table(spark, sf_dir, "conversations")).filter("prompt is not null and completion is not null").select(side.alias("partition"), "prompt", "completion")
+    every = None
+    for name, (_, folders) in sinks.PROFILES.items():
+        path = _fresh(spark, name)
+        sinks.write_profile(rows, path, name)
+        for folder in folders.values():
+            one = spark.read.text(f"{path}/{folder}").agg(F.count(F.lit(1)).alias("n"), validation.checksum(F.col("value")).alias("mark")).select(F.lit(name).alias("profile"), F.lit(folder).alias("folder"), "n", "mark")
+            every = one if every is None else every.unionByName(one)
+    return every.filter("n > 0")
+
+
 _FILES = "SELECT doc_id, 'docs/' || CASE WHEN doc_id % 11 = 0 THEN '.hidden/' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN 'drafts/' ELSE '' END || lpad(doc_id::VARCHAR, 9, '0') || CASE WHEN doc_id % 13 = 0 THEN '.bin' ELSE '.txt' END AS path, sha256(text) AS sha256, strlen(text) AS size FROM documents WHERE text IS NOT NULL"
 
 

@@ -119,7 +119,7 @@ def family_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT item_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t FROM benchmark),
+    """WITH RECURSIVE n AS (SELECT item_id, replace(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 'ß', 'ss') AS t FROM benchmark),
 s AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM n) WHERE t <> ''),
 z AS (SELECT item_id, count(*) AS size FROM s GROUP BY 1),
 p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.item_id <> y.item_id GROUP BY 1, 2),
@@ -138,7 +138,7 @@ def near_duplicate_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Pairs of included targets and clusters of them at each threshold; white space as in `normalized`.
-_NEAR = f"""nt AS (SELECT record_id AS id, lower(trim(regexp_replace(coalesce(target, ''), '[\\s\\v\\x85\\pZ]+', ' ', 'g'))) AS t FROM inside),
+_NEAR = f"""nt AS (SELECT record_id AS id, replace(lower(trim(regexp_replace(coalesce(target, ''), '[\\s\\v\\x85\\pZ]+', ' ', 'g'))), 'ß', 'ss') AS t FROM inside),
 ns AS (SELECT DISTINCT id, substr(t, i, 5) AS g FROM (SELECT id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM nt) WHERE t <> ''),
 nz AS (SELECT id, count(*) AS size FROM ns GROUP BY 1),
 np AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM ns x JOIN ns y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),

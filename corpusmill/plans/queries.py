@@ -173,7 +173,7 @@ def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark),
+    """WITH n AS (SELECT item_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS t FROM benchmark),
 s AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(2, length(t) - 3))) AS i FROM n) WHERE t <> ''),
 z AS (SELECT item_id, count(*) AS size FROM s GROUP BY 1),
 p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.item_id < y.item_id GROUP BY 1, 2)

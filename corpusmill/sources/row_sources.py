@@ -39,10 +39,13 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects, or an object with one of `records` and `rows`; any other file is one row with an error."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
-    inner = F.when(F.ltrim("v").startswith("["), F.col("v")).otherwise(F.coalesce(*[F.get_json_object("v", f"$.{k}") for k in ("records", "rows")]))
+    either = [F.get_json_object("v", f"$.{k}") for k in ("records", "rows")]
+    both = either[0].isNotNull() & either[1].isNotNull()
+    inner = F.when(F.ltrim("v").startswith("["), F.col("v")).when(~both, F.coalesce(*either))
     items = F.from_json(inner, "array<string>")
-    rows = files.select("path", F.posexplode_outer(items).alias("pos", "payload"))
-    return _checked(rows.select("path", (F.coalesce("pos", F.lit(0)) + 1).cast("long").alias("row_index"), "payload"))
+    rows = files.select("path", both.alias("both"), F.posexplode_outer(items).alias("pos", "payload"))
+    rows = _checked(rows.select("path", (F.coalesce("pos", F.lit(0)) + 1).cast("long").alias("row_index"), "payload", "both"))
+    return rows.withColumn("error", F.when(F.col("both"), "two-lists").otherwise(F.col("error"))).drop("both")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +54,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     nested = F.lit(False)
     for n in rows.columns:
         nested = nested | F.coalesce(F.col(f"`{n}`").rlike(r"^\s*[{\[]"), F.lit(False))
-    out = rows.select("_metadata.file_path", F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(rows.columns)])).alias("payload"), nested.alias("nested"))
-    return out.select(F.col("file_path").alias("path"), "payload", F.when(F.col("nested"), "nested-cell").alias("error"))
+    payload = F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(rows.columns)]))
+    out = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), payload.alias("payload"), nested.alias("nested"))
+    # a file with quoted line ends is read by one task, so the numbers of its rows follow each other
+    out = written(out, "cells")
+    first = out.groupBy("path").agg(F.min("at").alias("low"))
+    return out.join(first, "path").select("path", (F.col("at") - F.col("low") + 1).alias("row_index"), "payload", F.when(F.col("nested"), "nested-cell").alias("error"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +68,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     blank: Column = F.lit(False)
     for n in rows.columns:
         blank = blank | F.col(f"`{n}`").isNull()
-    out = rows.select("_metadata.file_path", F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("payload"), blank.alias("blank"))
-    return out.select(F.col("file_path").alias("path"), "payload", F.when(F.col("blank"), "null-value").alias("error"))
+    payload = F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    out = rows.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.row_index") + 1).alias("row_index"), payload.alias("payload"), blank.alias("blank"))
+    return out.select("path", "row_index", "payload", F.when(F.col("blank"), "null-value").alias("error"))
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:

@@ -165,6 +165,52 @@ def consumed(rows: DataFrame, descriptor: str) -> bool:
     return handoff(rows) == descriptor
 
 
+def verify_zip(target: str, sha256: str | None = None) -> list[str]:
+    """What is wrong with a zip of `zip_folder`: another digest, names out of order or unsafe, compression, times, damaged files; nothing if all is well."""
+    import hashlib
+
+    wrong = []
+    if sha256 is not None:
+        digest = hashlib.sha256()
+        with open(target, "rb") as f:
+            while part := f.read(1 << 20):
+                digest.update(part)
+        if digest.hexdigest() != sha256:
+            wrong.append("digest")
+    try:
+        with zipfile.ZipFile(target) as z:
+            infos = z.infolist()
+            names = [i.filename for i in infos]
+            if names != sorted(set(names)):
+                wrong.append("order")
+            wrong += [f"name:{n}" for n in names if n.startswith("/") or ".." in n.split("/") or "\\" in n]
+            wrong += [f"form:{i.filename}" for i in infos if i.compress_type != zipfile.ZIP_STORED or i.date_time != (1980, 1, 1, 0, 0, 0)]
+            if (bad := z.testzip()) is not None:
+                wrong.append(f"damaged:{bad}")
+    except zipfile.BadZipFile:
+        wrong.append("not-a-zip")
+    return wrong
+
+
+#: What each export takes, for a look before it is made: the columns it reads.
+EXPORTS = {
+    "bundle": ("partition", "ordinal", "record_id", "payload"),
+    "json": ("partition", "ordinal", "record_id", "payload"),
+    "dataset-folder": ("partition",),
+    "arrow": (),
+    **{name: ("partition", "prompt", "completion") for name in PROFILES},
+}
+
+
+def export_plan(rows: DataFrame, export: str) -> dict:
+    """What an export would read and write, without writing: its columns, and rows of each partition; a missing column is an error."""
+    missing = [c for c in EXPORTS[export] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{export} needs {missing}")
+    counts = {r["partition"]: r["count"] for r in rows.groupBy("partition").count().limit(1000).collect()} if "partition" in rows.columns else {"": rows.count()}
+    return {"export": export, "columns": list(EXPORTS[export] or rows.columns), "rows": dict(sorted(counts.items()))}
+
+
 def zip_folder(folder: str, target: str) -> None:
     """A finished local export as a zip that is equal byte by byte for equal files: sorted names, fixed times, no compression."""
     if os.path.exists(target):

@@ -26,6 +26,14 @@ def test_prefix_sums_and_spans(spark):
     assert [[tuple(x) for x in r.m] for r in spans] == [[(1, 3, "12"), (4, 7, "345"), (8, 9, "6")], []]
 
 
+def test_folded_like_the_standard(spark):
+    from corpusmill.functions.text import folded
+
+    texts = ["Straße ΣΑΣ ﬁn ŉ", "plain", "", "İI", "ẞ", None]
+    got = rows(spark, [(t,) for t in texts], "t string").select(folded(F.col("t")).alias("f")).collect()
+    assert [r.f for r in got] == [t if t is None else t.casefold() for t in texts]
+
+
 def test_steps_replay_and_refuse_what_differs(spark):
     text = "one two  three"
     frame = rows(spark, [(text,)], "t string")
@@ -120,6 +128,36 @@ def test_goals(spark):
     assert all(g.objective in mapping.ROLES for g in goals.GOALS.values())
 
 
+def test_admission_of_imported_rows(spark):
+    assert goals.compatible("continuation", "messages") and not goals.compatible("full_text", "messages")
+    data = rows(spark, [(1, "s", "p"), (2, "s", ""), (3, None, "p")], "record_id long, source string, prompt string")
+    assert {r.record_id: r.refusal for r in goals.admitted(data, "stepwise").collect()} == {1: None, 2: "missing-shared-prompt", 3: "missing-source"}
+    assert set(goals.ADMISSIONS) == set(mapping.IMPORT_ONLY)
+
+
+def test_archives_and_plans(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.txt").write_text("a")
+    (tmp_path / "f" / "b.txt").write_text("b")
+    target = str(tmp_path / "x.zip")
+    sinks.zip_folder(str(tmp_path / "f"), target)
+    data = open(target, "rb").read()
+    assert sinks.verify_zip(target, hashlib.sha256(data).hexdigest()) == [] and sinks.verify_zip(target, "0" * 64) == ["digest"]
+    with zipfile.ZipFile(str(tmp_path / "y.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("b", "x")
+        z.writestr("../a", "y")
+    assert {w.split(":")[0] for w in sinks.verify_zip(str(tmp_path / "y.zip"))} == {"order", "name", "form"}
+    open(str(tmp_path / "z.zip"), "wb").write(b"no")
+    assert sinks.verify_zip(str(tmp_path / "z.zip")) == ["not-a-zip"]
+    frame = rows(spark, [("train", "p", "c")], "partition string, prompt string, completion string")
+    assert sinks.export_plan(frame, "trl") == {"export": "trl", "columns": ["partition", "prompt", "completion"], "rows": {"train": 1}}
+    with pytest.raises(ValueError):
+        sinks.export_plan(frame, "bundle")
+
+
 def test_names_and_ids(spark):
     paths = ["a/b", "/a", "a//b", "a/./b", "..", "a\\b", "C:x", "", "a\0", "é", "a/..b", None]
     got = rows(spark, [(p,) for p in paths], "p string").select(identity.logical_path_ok(F.col("p")).alias("ok")).collect()

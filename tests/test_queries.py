@@ -40,7 +40,7 @@ def test_near_copies_of_included_targets_equal_all_pairs(spark):
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = sorted(r.record_id for r in queries.QUERIES["curate_documents"](spark, SF).filter("status = 'included'").collect())
-    norm = {i: " ".join(docs[i][40:].split()).lower() for i in ids}
+    norm = {i: " ".join(docs[i][40:].split()).casefold() for i in ids}
     sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t in norm.items()}
     ppm = {(a, b): len(sets[a] & sets[b]) * 1_000_000 // len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
     want = {}
