@@ -64,7 +64,8 @@ def with_domains(hosts: DataFrame, suffixes: Iterable[str] = SUFFIXES) -> DataFr
     host where there is none. Numeric addresses are suffix and domain of their own. The list is a bounded table
     (some ten thousand lines at most); a join by suffix finds its lines.
     """
-    listed = hosts.sparkSession.createDataFrame([(s,) for s in sorted({s.strip() for s in suffixes} - {""}) if not s.startswith("//")], "line string")
+    lines = [F.lit(s) for s in sorted({s.strip() for s in suffixes} - {""}) if not s.startswith("//")]
+    listed = hosts.sparkSession.range(1).select(F.explode(F.array(*lines).cast("array<string>")).alias("line"))
     name = bare_host(F.col("host"))
     names = hosts.select("host", name.alias("name"), F.split(name, "[.]").alias("labels")).distinct()
     address = F.col("name").rlike(r"^[0-9]+(?:[.][0-9]+){3}$|^\[")
