@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ppm_target
@@ -12,26 +12,42 @@ from ..sources.shared import written
 BUCKET_DIGITS = 4
 
 
-def split_groups(records: DataFrame, seed: str = "seed", evaluation_ppm: int = 100_000) -> DataFrame:
-    """record_id, group_id, partition for records (record_id, group_id).
+def boundary(records: DataFrame, seed: str = "seed", evaluation_ppm: int = 100_000) -> DataFrame:
+    """One row (last_h, last_group): the last group for evaluation of records (group_id), nulls where there is none.
 
     Groups are ordered by a hash of seed and id; the proper prefix whose record count is nearest to the
     target is for evaluation (ties: the shorter). Running sums go bucket by bucket of the hash, so
     no task orders all groups. A single group goes to training.
     """
-    groups = records.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).withColumn("h", F.sha2(F.concat(F.lit(seed), "group_id"), 256))
+    groups = records.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).withColumn("h", _order(seed))
     groups = groups.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     buckets = groups.groupBy("bucket").agg(F.sum("size").alias("inside"))
     before = F.coalesce(F.sum("inside").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = buckets.select("bucket", before.alias("before"))  # at most 65536 rows
     running = F.sum("size").over(Window.partitionBy("bucket").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0))
-    groups = groups.withColumn("running", running).join(buckets, "bucket").select("group_id", (F.col("running") + F.col("before")).alias("running"))
+    groups = groups.withColumn("running", running).join(buckets, "bucket").select("h", "group_id", (F.col("running") + F.col("before")).alias("running"))
     total = groups.agg(F.max("running").alias("total"))
     scored = groups.crossJoin(F.broadcast(total)).filter("running < total")  # one row: proper prefixes only
     gap = F.abs(F.col("running") - ppm_target(F.col("total"), evaluation_ppm))
-    best = scored.agg(F.min(F.struct(gap.alias("gap"), F.col("running").alias("cut"))).alias("best")).select(F.coalesce("best.cut", F.lit(0)).alias("cut"))
-    sides = groups.crossJoin(F.broadcast(best)).select("group_id", F.when(F.col("running") <= F.col("cut"), "evaluation").otherwise("train").alias("partition"))
-    return records.select("record_id", "group_id").join(sides, "group_id").select("record_id", "group_id", "partition")
+    best = scored.agg(F.min(F.struct(gap.alias("gap"), "running", "h", "group_id")).alias("best"))
+    return best.select(F.col("best.h").alias("last_h"), F.col("best.group_id").alias("last_group"))
+
+
+def _order(seed: str) -> Column:
+    return F.sha2(F.concat(F.lit(seed), "group_id"), 256)
+
+
+def with_sides(records: DataFrame, last: DataFrame, seed: str = "seed") -> DataFrame:
+    """`records` (group_id, ...) with `partition` by the last group for evaluation: each is decided where it stands, none travels. Records without a group are left out."""
+    h = _order(seed)
+    inside = (h < F.col("last_h")) | ((h == F.col("last_h")) & (F.col("group_id") <= F.col("last_group")))
+    sides = records.filter("group_id is not null").crossJoin(F.broadcast(last))
+    return sides.select(*[F.col(f"`{c}`") for c in records.columns], F.when(inside, "evaluation").otherwise("train").alias("partition"))
+
+
+def split_groups(records: DataFrame, seed: str = "seed", evaluation_ppm: int = 100_000) -> DataFrame:
+    """record_id, group_id, partition for records (record_id, group_id); see `boundary`."""
+    return with_sides(records.select("record_id", "group_id"), boundary(records, seed, evaluation_ppm), seed)
 
 
 def authoritative(records: DataFrame) -> DataFrame:

@@ -117,22 +117,87 @@ def write_rejections(rows: DataFrame, payload: str, fields: dict[str, str], path
     rows.select("row_index", code.alias("reason_code"), F.sha2(payload, 256).alias("payload_sha256")).filter("reason_code is not null").write.mode("error").json(path)
 
 
-#: Rows that one JSON document holds at most.
-DOCUMENT_ROWS = 1_000_000
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, the path, and copying of bytes, as the JVM has them."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm
+
+
+def _append(spark: SparkSession, out, folder: str) -> None:
+    """Appends the files of a folder in order to a stream, without the separator at the very end; each is deleted once it is copied."""
+    files, at, jvm = _files(spark, folder)
+    parts = [(f.getPath(), f.getLen()) for f in files.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()]
+    parts.sort(key=lambda p: (int(p[0].getName().split("-")[1]), p[0].getName()))
+    for k, (part, size) in enumerate(parts):
+        source = files.open(part)
+        try:
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - (len(SEPARATOR) if k == len(parts) - 1 else 0))
+        finally:
+            source.close()
+        files.delete(part, False)
+
+
+#: What stands between two elements of a list of `write_json`: each has a line of its own.
+SEPARATOR = ",\n"
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """rows (partition, ordinal, record_id, payload) as one JSON document: payloads by partition in order, and their provenance; refuses to replace.
+    """rows (partition, ordinal, record_id, payload) as a file with one JSON document: payloads by partition in order, and their provenance; refuses to replace.
 
-    A document is one value, so it is made in one task: more than DOCUMENT_ROWS rows are an error, for which there are JSON lines.
+    Tasks sort and write the elements, a line each; the finished files are then appended to one as bytes, so nothing holds more
+    than a line. Line ends inside a payload, which can only stand between its tokens, become blanks. `rows` is read several times.
     """
-    if rows.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
-        raise ValueError("too many rows for one document")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "record_id", "payload"))).alias("r")
-    sides = rows.groupBy("partition").agg(ordered).select("partition", F.array_join("r.payload", ",").alias("p"), F.to_json(F.transform("r", lambda x: F.struct(F.sha2(x["payload"], 256).alias("payload_sha256"), x["record_id"].cast("string").alias("record_id")))).alias("v"))
-    part = lambda c, open_, close: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("partition", c))), lambda s: F.concat(F.to_json(F.array(s["partition"])).substr(F.lit(2), F.length(s["partition"]) + 2), F.lit(open_), s[c], F.lit(close))), ",")
-    whole = F.concat(F.lit('{"provenance":{'), part("v", ":", ""), F.lit('},"splits":{'), part("p", ":[", "]"), F.lit("}}"))
-    sides.agg(whole.alias("value")).coalesce(1).write.mode("error").text(path)
+    spark = rows.sparkSession
+    files, target, _ = _files(spark, path)
+    if files.exists(target):
+        raise FileExistsError(path)
+    value = F.coalesce("payload", F.lit("null"))
+    lists = {
+        "provenance": F.to_json(F.struct(F.sha2("payload", 256).alias("payload_sha256"), F.col("record_id").cast("string").alias("record_id"))),
+        "splits": F.translate(value, "\n\r", "  "),
+    }
+    found = [r[0] for r in rows.select("partition").distinct().collect()]  # train and evaluation, as a rule
+    if None in found:
+        raise ValueError("a row without a partition")
+    names = sorted(found)
+    files, unfinished, _ = _files(spark, f"{path}.part")
+    out = files.create(unfinished, False)
+    try:
+        put = lambda text: out.write(text.encode())
+        for k, (section, line) in enumerate(lists.items()):
+            put(f'{"," if k else "{"}"{section}":{{\n')
+            for n, name in enumerate(names):
+                folder = f"{path}.parts/{section}-{n}"
+                some = rows.filter(F.col("partition") == name)
+                some.select("ordinal", "record_id", line.alias("value")).orderBy("ordinal", "record_id", "value").select("value").write.mode("error").option("lineSep", SEPARATOR).text(folder)
+                put(f'{"," if n else ""}{json.dumps(name)}:[\n')
+                _append(spark, out, folder)
+                put("\n]\n")
+            put("}")
+        put("}\n")
+    finally:
+        out.close()
+    if not files.rename(unfinished, target):
+        raise FileExistsError(path)
+    files.delete(_files(spark, f"{path}.parts")[1], True)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """partition, payload of a document of `write_json`, read in splits: the last line that opens a list before a payload names its partition."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
+    # no element looks like these: a key and a colon outside an object
+    opens = F.col("value").rlike(r'^,?"[^"\\]*+(?:\\.[^"\\]*+)*+":\[$')
+    section = F.regexp_extract("value", r'^[{},]*"(provenance|splits)":\{$', 1)
+    name = F.get(F.from_json(F.concat(F.lit("["), F.regexp_replace("value", r"^,|:\[$", ""), F.lit("]")), "array<string>"), F.lit(0))
+    marks = lines.filter(opens | (section != "") | (F.col("value") == "]")).select("place", F.when(opens, "list").otherwise(section).alias("kind"), F.when(opens, name).alias("partition"))
+    marks = marks.agg(F.array_sort(F.collect_list(F.struct("place", "kind", "partition"))).alias("marks"))  # two for each partition and list
+    before = lambda kinds: F.filter("marks", lambda m: (m["place"] < F.col("place")) & m["kind"].isin(*kinds))
+    last = lambda kinds: F.try_element_at(before(kinds), F.lit(-1))
+    inside = lines.crossJoin(F.broadcast(marks)).filter(~opens & (section == "") & ~F.col("value").isin("]", "}", "}}", ""))
+    rows = inside.select(last(("provenance", "splits"))["kind"].alias("section"), last(("list",))["partition"].alias("partition"), F.regexp_replace("value", r",$", "").alias("payload"))
+    return rows.filter("section = 'splits'").select("partition", "payload")
 
 
 def write_dataset_folder(rows: DataFrame, path: str) -> None:

@@ -191,6 +191,28 @@ def test_documents_and_folders_of_a_dataset(spark, tmp_path):
     assert os.path.isdir(tmp_path / "folder" / "evaluation")
 
 
+def test_a_document_is_made_and_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 2, raising=False)
+    data = [("train", k, k, f'{{"text":"{k} \\"a\\":["}}') for k in range(500)] + [("a \"b\"", 1, 7, '{"x":\n[]}'), ("a \"b\"", 1, 7, '{"x":\n[]}'), ("é", 0, 8, '"s"')]
+    frame = rows(spark, data, "partition string, ordinal long, record_id long, payload string").repartition(7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        sinks.write_json(frame, str(tmp_path / "one"))
+        whole = json.loads((tmp_path / "one").read_text(encoding="utf-8"))
+        read = sinks.read_json(spark, str(tmp_path / "one"))
+        assert read.rdd.getNumPartitions() > 10
+        got = sorted((r.partition, r.payload) for r in read.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((p, x.replace("\n", " ")) for p, _, _, x in data)
+    assert whole["splits"] == {"a \"b\"": [{"x": []}] * 2, "train": [{"text": f'{k} "a":['} for k in range(500)], "é": ["s"]}
+    assert [p["record_id"] for p in whole["provenance"]["train"]] == [str(k) for k in range(500)] and not os.path.exists(tmp_path / "one.parts")
+    with pytest.raises(FileExistsError):
+        sinks.write_json(frame, str(tmp_path / "one"))
+    sinks.write_json(frame.limit(0), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none").read_text()) == {"provenance": {}, "splits": {}} and sinks.read_json(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_gates_of_an_empty_and_a_tiny_dataset(spark):
     record = rows(spark, [("d", 1, "s", "c", "t" * 300), ("d", 2, "s", "c2", "u" * 300)], "dataset string, record_id long, source string, context string, target string")
     decisions = rows(spark, [("d", 1, "included"), ("d", 2, "included")], "dataset string, record_id long, status string")
