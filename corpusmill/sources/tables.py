@@ -28,11 +28,11 @@ def glob_pattern(glob: str) -> str:
     return fnmatch.translate(glob).replace(r"\Z", "$").replace("(?s:", "(?s:^", 1)
 
 
-def collection(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES, max_files: int = 10_000, max_bytes: int = 512 << 20) -> DataFrame:
+def collection(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES, max_files: int | None = 10_000, max_bytes: int = 512 << 20) -> DataFrame:
     """`files` (path, size, sha256) with status and reason: accepted, duplicate, ignored or refused.
 
     Hidden names, paths outside the globs (exclude wins) and unknown suffixes are ignored, files over `max_bytes` refused. Of
-    equal bytes the first path is accepted; accepted files beyond the first `max_files` in path order are refused.
+    equal bytes the first path is accepted; accepted files beyond the first `max_files` in path order are refused (None: as many as there are).
     """
     path = F.col("path")
     hit = lambda globs: path.rlike("|".join(glob_pattern(g) for g in globs))
@@ -46,12 +46,15 @@ def collection(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[s
     rows = files.withColumn("reason", reason)
     owners = rows.filter("reason is null").groupBy("sha256").agg(F.min("path").alias("owner"))
     rows = rows.join(owners, "sha256", "left")
-    # the last path that still fits: the greatest of the first `max_files`, found as a bounded top-k
-    taken = rows.filter("reason is null and path = owner").select("path").orderBy("path").limit(max_files).agg(F.max("path").alias("last"))
-    rows = rows.join(F.broadcast(taken), F.lit(True))
+    over = F.lit(False)
+    if max_files is not None:
+        # the last path that still fits: the greatest of the first `max_files`, found as a bounded top-k
+        taken = rows.filter("reason is null and path = owner").select("path").orderBy("path").limit(max_files).agg(F.max("path").alias("last"))
+        rows = rows.join(F.broadcast(taken), F.lit(True))
+        over = path > F.col("last")
     own = F.col("path") == F.col("owner")
-    status = F.when(F.col("reason") == "too-large", "refused").when(F.col("reason").isNotNull(), "ignored").when(~own, "duplicate").when(path > F.col("last"), "refused").otherwise("accepted")
-    why = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~own, F.concat(F.lit("duplicate-bytes:"), "owner")).when(path > F.col("last"), "too-many-files")
+    status = F.when(F.col("reason") == "too-large", "refused").when(F.col("reason").isNotNull(), "ignored").when(~own, "duplicate").when(over, "refused").otherwise("accepted")
+    why = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~own, F.concat(F.lit("duplicate-bytes:"), "owner")).when(over, "too-many-files")
     return rows.select(*[c for c in files.columns], status.alias("status"), why.alias("reason"))
 
 

@@ -175,6 +175,17 @@ def test_collections_have_limits(spark):
     assert got == {"a.txt", "h.txt", "i.txt"}
 
 
+def test_a_listing_of_any_length(spark, tmp_path):
+    from corpusmill.plans import checks
+
+    spark.range(16_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.status: r["count"] for r in checks.collected_files(spark, str(tmp_path)).groupBy("status").count().collect()}
+    taken = sum(1 for k in range(16_000) if k % 11 and k % 7 and k % 13)
+    assert "refused" not in got and got["accepted"] == taken
+    files = spark.range(10_005).select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".txt")).alias("path"), F.lit(1).alias("size"), F.col("id").cast("string").alias("sha256"))
+    assert tables.collection(files).filter("reason = 'too-many-files'").count() == 5 and tables.collection(files, max_files=None).filter("status = 'accepted'").count() == 10_005
+
+
 def test_documents_and_folders_of_a_dataset(spark, tmp_path):
     data = [("train", 1, 10, '{"text":"b"}'), ("train", 0, 11, '{"text":"a \\"q\\""}'), ("evaluation", 0, 12, '{"text":"é"}')]
     frame = rows(spark, data, "partition string, ordinal long, record_id long, payload string")
