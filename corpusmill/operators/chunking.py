@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, prefix_sums
 
 
-def fixed_windows(docs: DataFrame, size: int = 1000, overlap: int = 100, text_col: str = "text") -> DataFrame:
-    """doc_id, seq, start, chunk: windows of `size` characters; the last is the first to reach the end.
+def fixed_windows(docs: DataFrame, size: int = 1000, overlap: int = 100, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, seq, start, chunk: windows of `size` characters; the last is the first to reach the end. Columns of `keep` follow.
 
     A null or empty text has no window. The text is cut once into pieces of a step, of which windows are made, so cost is
     linear in the text.
@@ -23,8 +23,8 @@ def fixed_windows(docs: DataFrame, size: int = 1000, overlap: int = 100, text_co
         F.struct(pieces.alias("p"), last.alias("last")),
         lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda k: F.substring(F.array_join(F.slice(x["p"], k + 1, F.lit(span)), ""), 1, size)),
     )
-    rows = docs.filter(n > 0).select("doc_id", F.posexplode(windows).alias("seq", "chunk"))
-    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), (F.col("seq") * step).cast("long").alias("start"), "chunk")
+    rows = docs.filter(n > 0).select("doc_id", *keep, F.posexplode(windows).alias("seq", "chunk"))
+    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), (F.col("seq") * step).cast("long").alias("start"), "chunk", *keep)
 
 
 def _pack(blocks: Column, longest: int, glue: str = "\n\n") -> Column:

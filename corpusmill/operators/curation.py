@@ -33,6 +33,25 @@ def curate(records: DataFrame, min_target: int = 200, cap: int = 30) -> DataFram
     return rows.withColumn("reason", reason).select("record_id", "source", status.alias("status"), "reason")
 
 
+def included(records: DataFrame, min_target: int = 200, cap: int = 30) -> DataFrame:
+    """record_id, target_sha256 of the records that `curate` includes, without a row for the others.
+
+    Records of one source and context without a conflict have one target, so one aggregate by both finds conflicts and first ids; only
+    digests travel, and no record is joined.
+    """
+    sha = lambda c: F.unhex(F.sha2(c, 256))
+    rows = records.filter((F.coalesce(F.length("target"), F.lit(0)) >= min_target) & F.col("source").isNotNull() & F.col("context").isNotNull())
+    rows = rows.select("record_id", "source", sha("context").alias("c"), sha("target").alias("t"))
+    blank = F.col("t").isNull()
+    firsts = [F.min(F.when(~blank, F.col("record_id"))).alias("first")] + ([F.min(F.when(blank, F.col("record_id"))).alias("none")] if min_target <= 0 else [])
+    groups = rows.groupBy("source", "c").agg(F.min("t").alias("low"), F.max("t").alias("high"), *firsts).filter("low = high")
+    keep = groups.select("source", F.col("first").alias("record_id"), F.col("low").alias("t"))
+    if min_target <= 0:  # a record without target stands beside those with one
+        keep = keep.unionByName(groups.filter("none is not null").select("source", F.col("none").alias("record_id"), F.lit(None).cast("binary").alias("t")))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("record_id"))
+    return keep.withColumn("rank", rank).filter(F.col("rank") <= cap).select("record_id", F.lower(F.hex("t")).alias("target_sha256"))
+
+
 def coverage(decisions: DataFrame) -> DataFrame:
     """Per source: counts by status and a blocker where nothing is included."""
     count = lambda s: F.sum((F.col("status") == s).cast("long")).alias(s)

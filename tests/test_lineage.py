@@ -282,3 +282,37 @@ def test_previews_and_reviews_of_nothing(spark):
     assert exchange.unresolved(sent, exchange.submitted(sent, rows(spark, [], "packet string, evidence string, verdict string, sequence int"))).count() == 1
     good = sent.selectExpr("packet", "evidence", "'rejected' as verdict", "1 as sequence").union(sent.selectExpr("packet", "evidence", "'waived'", "2"))
     assert exchange.unresolved(sent, exchange.submitted(sent, good)).count() == 0
+
+
+def _shuffled(spark):
+    """Bytes that this session has written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    every = sc.statusStore().executorList(False)
+    return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+def test_a_recipe_moves_digests_rather_than_texts(spark):
+    from corpusmill.operators import recipe
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.sha2(F.concat_ws("-", "id", k), 256)), " ")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 10 == 7, F.lit("x" * 900)).otherwise(text).alias("text"))
+    spec = recipe.load(json.dumps({"window": {"size": 1000, "overlap": 100}, "curation": {"cap": 9}}))
+    before = _shuffled(spark)
+    got = recipe.run(docs, spec).collect()
+    assert _shuffled(spark) - before < 3_000_000  # of 5.2 million characters
+    assert sorted(tuple(r.record_id) for r in got) == [(0, k) for k in range(9)] and {r.partition for r in got} == {"train", "evaluation"}
+    for r in got:
+        row = json.loads(r.payload)
+        assert len(row["prompt"]) == len(row["completion"]) == 500
+
+
+def test_included_records_are_those_of_curation(spark):
+    from corpusmill.operators import curation
+
+    data = [(k, [None, "a", "b"][k % 3], [None, "c", "d", "e"][k // 3 % 4], [None, "", "tt", "uu", "tt"][k * k // 7 % 5]) for k in range(200)] + [(500 + k, "a", f"c{k // 2}", "vv") for k in range(9)]
+    records = rows(spark, data, "record_id long, source string, context string, target string")
+    for least in (0, 1, 2):
+        for cap in (0, 2, 100):
+            want = {r.record_id for r in curation.curate(records, least, cap).filter("status = 'included'").collect()}
+            assert {r.record_id for r in curation.included(records, least, cap).collect()} == want, (least, cap)
